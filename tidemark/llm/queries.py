@@ -1,9 +1,11 @@
-"""The queries opN_<name> and their SQL, where SQL can express them."""
+"""The queries opN_<name>, each an operator with production parameters over its whole table, and SQL where SQL can express one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, hamming, html, langid, quality, warc
 from .jaccard import ngram_jaccard_join
 from .packing import pack
 from .pii import find_pii
@@ -22,6 +24,22 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents selected: those that are of the highest grade with a probability of at least a half."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.select("doc_id", quality.grade_of().alias("grade")))
+    return quality.select(quality.rate(docs, model))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(_read(spark, sf_dir, "pages")))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).withColumnRenamed("source_id", "page_id").drop("record")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_read(spark, sf_dir, "documents"))
 
@@ -30,6 +48,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op6_pii, op7_token_counts)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.languages(docs, langid.train(docs))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.links(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_quality_classifier, op4_html_extraction, op5_warc_derivatives, op6_pii, op7_token_counts, op8_language_id, op9_decontamination, op10_embedding_near_dedup)
+}
 
 SQL: dict[str, str] = {}
