@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import schema as s
 
@@ -15,7 +16,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None and not t.isascii() else t)
 
@@ -43,7 +44,7 @@ def similarity(a: Column | str, b: Column | str, nfkc: bool = True) -> Column:
     """1 - edit distance / longer length, of normalized texts, in code points."""
     x, y = normalize_text(a, nfkc), normalize_text(b, nfkc)
     longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest == 0, F.lit(1.0)).when(F.least(F.length(x), F.length(y)) == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(x, y) / longest)
+    return F.when(longest == 0, F.lit(1.0)).when(F.least(F.length(x), F.length(y)) == 0, F.lit(0.0)).otherwise(1 - F.try_divide(F.levenshtein(x, y), longest))
 
 
 def _points(c: Column) -> Column:
@@ -52,8 +53,9 @@ def _points(c: Column) -> Column:
 
 def subsequence(short: Column, long: Column) -> Column:
     """Whether all code points of short occur in long in that order: a fold that counts those found so far."""
-    want = _points(short)
-    return F.aggregate(_points(long), F.lit(0), lambda k, c: F.when(F.try_element_at(want, k + 1) == c, k + 1).otherwise(k)) == F.size(want)
+    # What is sought travels in the state: a lambda must not hold an expression of Python.
+    step = lambda a, c: F.struct((a["k"] + F.when(F.try_element_at(a["want"], a["k"] + 1) == c, 1).otherwise(0)).alias("k"), a["want"].alias("want"))
+    return F.aggregate(_points(long), F.struct(F.lit(0).alias("k"), _points(short).alias("want")), step, lambda a: a["k"] == F.size(a["want"]))
 
 
 def is_partial_read(partial: Column | str, complete: Column | str, nfkc: bool = True) -> Column:
@@ -65,7 +67,7 @@ def is_partial_read(partial: Column | str, complete: Column | str, nfkc: bool =
         (line_count(partial) == line_count(complete))
         & (la >= s.PARTIAL_LENGTH)
         & (la < lb)
-        & (la / lb >= s.PARTIAL_RATIO)
+        & F.coalesce(F.try_divide(la, lb) >= s.PARTIAL_RATIO, F.lit(False))
         & (lb - la <= F.greatest(F.lit(s.PARTIAL_LEAST), F.floor(lb * s.PARTIAL_SHARE)))
         & subsequence(a, b)
     )

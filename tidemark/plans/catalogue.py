@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .. import schema as s
 from ..functions import kernels
@@ -125,7 +126,7 @@ def _shipments(spark, sf_dir):
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     day = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000).cast("double")
     both = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    return both.select(F.col("o_custkey").alias("video_id"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), day("o_orderdate").alias("start"), day("l_shipdate").alias("end"), F.col("l_returnflag").alias("text"))
+    return both.select(F.col("o_custkey").alias("video_id"), ((F.col("o_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + day("l_shipdate").cast("long")).alias("ord"), day("o_orderdate").alias("start"), day("l_shipdate").alias("end"), F.col("l_returnflag").alias("text"))
 
 
 def validate_intervals(spark, sf_dir):
@@ -274,7 +275,7 @@ def color_parse(spark, sf_dir):
 def preview_targets(spark, sf_dir):
     e = extents(spark, sf_dir)
     got = ti.cue_preview_target("start", "end", F.col("time") + F.when(F.col("ord") % 2 == 0, 0.0).otherwise(HOURS_6), F.lit(40.0))
-    return e.select("video_id", "ord", F.round(got["time"], 4).alias("seek"), F.round(got["frame_time"], 4).alias("frame_time"))
+    return e.select("video_id", "ord", F.round(got["time"], 5).alias("seek"), F.round(got["frame_time"], 5).alias("frame_time"))
 
 
 def ctc_decode(spark, sf_dir):
@@ -299,7 +300,7 @@ def box_merge(spark, sf_dir):
     return e.select("vec_id", kernels.merge_column(F.col("boxes")).alias("boxes")).select("vec_id", F.posexplode("boxes").alias("k", "b")).select("vec_id", "k", "b.x", "b.y", "b.width", "b.height")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _pixels(values: pd.Series) -> pd.Series:
     return values.map(lambda v: np.clip(np.abs(np.asarray(v, np.float64)) * 1020, 0, 255).astype(np.uint8).tobytes())
 
@@ -371,7 +372,7 @@ QUERIES = {
     )
 }
 
-_CLOCK = "lpad((ms // 3600000)::VARCHAR, greatest(2, length((ms // 3600000)::VARCHAR)), '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || '{}' || lpad((ms % 1000)::VARCHAR, 3, '0')"
+_CLOCK = "lpad((ms // 3600000)::VARCHAR, greatest(2, length((ms // 3600000)::VARCHAR))::INT, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || '{}' || lpad((ms % 1000)::VARCHAR, 3, '0')"
 
 
 def _clock(ms: str, separator: str) -> str:
@@ -403,7 +404,7 @@ SQL = {
     "raw_cues": f"""WITH {NEAR}, r AS (SELECT video_id, run_id, min(text) AS text, min("start") AS a, max("end") AS b, count(*) AS samples, sum(confidence * duration) AS c, sum(duration) AS d,
       arg_max(time, (confidence, -time, -ord)) AS sample_time FROM numbered GROUP BY video_id, run_id),
       k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY a, b) AS n, c / d AS confidence_of FROM r WHERE text <> '' AND b > a)
-      SELECT video_id, 'cue-' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR)), '0') AS cue_id, floor(a + 0.5)::BIGINT AS start_ms, floor(b + 0.5)::BIGINT AS end_ms, text, round(confidence_of, 6) AS confidence,
+      SELECT video_id, 'cue-' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') AS cue_id, floor(a + 0.5)::BIGINT AS start_ms, floor(b + 0.5)::BIGINT AS end_ms, text, round(confidence_of, 6) AS confidence,
       confidence_of < 0.88 OR samples = 1 OR d <= 180 AS needs_review, round(sample_time, 4) AS sample_time FROM k""",
     "sample_tumbling": f"""WITH {OBS}, k AS (SELECT *, floor(time / {HOURS_6}::DOUBLE) AS bucket FROM obs WHERE time >= -0.01 AND time < {END}::DOUBLE),
       r AS (SELECT *, row_number() OVER (PARTITION BY video_id, bucket ORDER BY time) AS n FROM k)
@@ -425,7 +426,7 @@ SQL = {
       SELECT video_id, range_id, (sum(fresh) OVER (PARTITION BY video_id ORDER BY range_id))::BIGINT AS decode_group FROM f""",
     "reorder_margin": """WITH b AS (SELECT o_custkey AS video_id, epoch_us(o_orderdate) // 86400000000 AS d, epoch_us(l_shipdate) // 86400000000 AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
       SELECT video_id, round(greatest(0::DOUBLE, max((d - c)::DOUBLE)), 4) AS margin_ms FROM b GROUP BY 1""",
-    "validate_intervals": """WITH b AS (SELECT o_custkey AS video_id, o_orderkey * 10 + l_linenumber AS ord, epoch_us(o_orderdate) / 86400000000 AS a, epoch_us(l_shipdate) / 86400000000 AS b, l_returnflag AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    "validate_intervals": """WITH b AS (SELECT o_custkey AS video_id, (o_orderkey * 10 + l_linenumber) * 100000 + epoch_us(l_shipdate) // 86400000000 AS ord, epoch_us(o_orderdate) / 86400000000 AS a, epoch_us(l_shipdate) / 86400000000 AS b, l_returnflag AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
       l AS (SELECT *, lag(b) OVER (PARTITION BY video_id ORDER BY a, ord) AS last_end FROM b)
       SELECT video_id, CASE WHEN NOT (a >= 0 AND b > a) THEN 1 WHEN trim(text) = '' THEN 2 WHEN a < last_end THEN 3 ELSE 0 END AS code, count(*) AS cues FROM l GROUP BY 1, 2""",
     "timeline_lookup_last": f"""WITH {NEAR}, {_POINTS}, f AS (SELECT p.video_id, point_id, max(ord) AS cue_ord FROM p JOIN q ON p.video_id = q.video_id AND a <= time AND time < greatest(b, a + 2 / 100000.0::DOUBLE * {END}::DOUBLE) GROUP BY 1, 2)
@@ -457,8 +458,8 @@ SQL = {
     "color_parse": """WITH c AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN '#' || lpad(upper(to_hex(p_partkey)), 6, '0') ELSE '#' || upper(to_hex(p_partkey)) END AS color, p_size * 4 - 20 AS tol FROM part),
       g AS (SELECT *, regexp_full_match(color, '#[0-9a-fA-F]{6}') AND tol BETWEEN 0 AND 128 AS good FROM c) SELECT p_partkey, CASE WHEN good THEN lower(color) END AS color, CASE WHEN good THEN tol END AS tolerance FROM g""",
     "preview_targets": f"""WITH {NEAR}, k AS (SELECT video_id, ord, "start" AS a, "end" AS b, time + CASE WHEN ord % 2 = 0 THEN 0::DOUBLE ELSE {HOURS_6}::DOUBLE END AS t FROM ext)
-      SELECT video_id, ord, round(CASE WHEN a <= t AND t < b THEN t + least(20::DOUBLE, (b - t) / 2) ELSE (a + b) / 2 END, 4) AS seek, round(CASE WHEN a <= t AND t < b THEN t END, 4) AS frame_time FROM k""",
-    "ctc_decode": """WITH v AS (SELECT vec_id, s, list_transform(array_slice(embedding, s * 8 + 1, s * 8 + 8), x -> x::DOUBLE) AS p FROM embeddings, range(8) r(s)),
+      SELECT video_id, ord, round(CASE WHEN a <= t AND t < b THEN t + least(20::DOUBLE, (b - t) / 2) ELSE (a + b) / 2 END, 5) AS seek, round(CASE WHEN a <= t AND t < b THEN t END, 5) AS frame_time FROM k""",
+    "ctc_decode": """WITH v AS (SELECT vec_id, s, array_slice(embedding, s * 8 + 1, s * 8 + 8)::DOUBLE[] AS p FROM embeddings, range(8) r(s)),
       b AS (SELECT vec_id, s, list_position(p, list_max(p)) - 1 AS k, list_max(p) AS q FROM v), l AS (SELECT *, lag(k) OVER (PARTITION BY vec_id ORDER BY s) AS last FROM b),
       e AS (SELECT vec_id, string_agg(substr('abcdefg', k::INT, 1), '' ORDER BY s) AS text, avg(q) AS c FROM l WHERE k <> 0 AND k IS DISTINCT FROM last GROUP BY 1)
       SELECT i.vec_id, coalesce(e.text, '') AS text, round(coalesce(least(1::DOUBLE, greatest(0::DOUBLE, c)), 0), 5) AS confidence FROM embeddings i LEFT JOIN e ON i.vec_id = e.vec_id""",
