@@ -16,12 +16,10 @@ from .common import connected_components, cut, forest, groups
 BLOCK = 512
 
 
-def learn_rotations(x: np.ndarray, count: int, rounds: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Mean, and `count` projections: principal axes turned so that the signs of the projected sample lie as near as can be to the
-    values, from a random start each."""
-    mean = x.mean(0)
-    v = x - mean
-    bits = min(64, x.shape[1])
+def learn_rotations(v: np.ndarray, count: int, rounds: int = 30) -> list[np.ndarray]:
+    """`count` projections: principal axes turned so that the signs of the projected sample lie as near as can be to the values, from a
+    random start each. The sample isn't centred: signs then tell angles, whatever direction the vectors have in common."""
+    bits = min(64, v.shape[1])
     axes = np.linalg.eigh(v.T @ v)[1][:, ::-1][:, :bits]
     v, out = v @ axes, []
     for k in range(count):
@@ -30,7 +28,7 @@ def learn_rotations(x: np.ndarray, count: int, rounds: int = 30) -> tuple[np.nda
             a, _, b = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (a @ b).T
         out.append(axes @ r)
-    return mean, out
+    return out
 
 
 def plan(n: int, cosine: float, recall: float, dims: int) -> tuple[int, int, int]:
@@ -79,7 +77,7 @@ def _pairs(classes: DataFrame, dims: int, cosine: float, sample: int, recall: fl
     taken = np.array([r[0] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()], np.float64)
     taken /= np.linalg.norm(taken / np.abs(taken).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(taken).max(1, keepdims=True)
     bits, tables, rotations = plan(n, cosine, recall, dims)
-    mean, turns = learn_rotations(taken, rotations)
+    turns = learn_rotations(taken, rotations)
     per = min(64, dims) // bits
     weights = 1 << np.arange(bits, dtype=np.int64)
 
@@ -92,7 +90,7 @@ def _pairs(classes: DataFrame, dims: int, cosine: float, sample: int, recall: fl
             unit = v / (np.linalg.norm(v / scale, axis=1, keepdims=True) * scale)
             keys = []
             for t in turns:
-                sign = ((unit - mean) @ t >= 0).astype(np.int64)
+                sign = (unit @ t >= 0).astype(np.int64)
                 keys += [sign[:, k * bits : (k + 1) * bits] @ weights for k in range(per)]
             keys = np.stack(keys[:tables], 1)
             lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel(), kind))

@@ -17,21 +17,31 @@ from .tokens import parts, two
 WORDS = [c for c in range(128) if not chr(c).isalnum()]
 MARKS = [c for c in range(256) if c >= 128 or chr(c).isalnum() or c <= 32]
 BITS = 20
+#: Bytes of a word's beginning that make a feature of their own, so that forms of one stem share weight.
+STEM = 6
 
 
 class Features:
-    """Distinct hashed words, marks, and classes of how frequent marks and capitals are."""
+    """Distinct hashed words, word beginnings and marks, and classes of length, repetition, and of how frequent marks and capitals are."""
 
     def __init__(self):
         self.words, self.marks = WordHasher(WORDS), WordHasher(MARKS)
+        self.lower = np.arange(256, dtype=np.uint64)
+        self.lower[65:91] += 32
 
     def __call__(self, text: str) -> np.ndarray:
         data = text.encode("utf-8", "surrogatepass")
         raw = np.frombuffer(data, np.uint8)
-        words, marks = self.words(data)[0], self.marks(data)[0]
-        upper = ((raw >= 65) & (raw <= 90)).sum()
-        classes = np.array([1000 + int(8 * upper / max(1, len(raw))), 2000 + int(8 * min(1, len(marks) / max(1, len(words)))), 3000], np.uint64)
-        return np.unique(np.concatenate([words, marks + np.uint64(1), mix(classes)]) >> np.uint64(64 - BITS)).astype(np.int64)
+        (words, starts, ends), marks = self.words(data), self.marks(data)[0]
+        starts, stems = starts[ends - starts > STEM], np.uint64(0)
+        for k in range(STEM if len(starts) else 0):
+            stems = stems * np.uint64(256) + self.lower[raw[starts + k]]
+        distinct = np.unique(words)
+        share = lambda a, b: int(8 * min(1, a / max(1, b)))
+        upper, again = int(((raw >= 65) & (raw <= 90)).sum()), int((words[1:] == words[:-1]).sum())
+        classes = [1000 + share(upper, len(raw)), 2000 + share(len(marks), len(words)), 3000 + share(again, len(words)), 4000 + share(len(distinct), len(words)), 5000 + len(words).bit_length(), 6000]
+        parts = [distinct, marks + np.uint64(1), mix(np.array(classes, np.uint64)), mix(stems + np.uint64(7)) if len(starts) else marks[:0]]
+        return np.unique(np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Ordinal:
@@ -51,16 +61,19 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, rounds: int = 8, rate: float = 0.1, l1: float = 2e-5, seed: int = 11) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, rounds: int = 8, rate: float = 0.2, l1: float = 5e-3, common: int = 5, seed: int = 11) -> Ordinal:
     """Stochastic gradients with a rate for each weight (AdaGrad) and soft thresholding. Each threshold is one of logistic regressions
-    that share the weights; thresholds are sorted after each step, so they stay ordered."""
+    that share the weights; thresholds are sorted after each step, so they stay ordered. Features of fewer than `common` rows get no weight,
+    since they tell one text rather than a kind of text."""
+    used = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= common if rows else np.zeros(1 << BITS, bool)
+    rows = [x[used[x]] for x in rows]
     cuts = grade_count - 1
     w, g2, theta, t2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), np.linspace(-1, 1, cuts) if cuts > 1 else np.zeros(cuts), np.full(cuts, 1.0)
     rng, above = np.random.default_rng(seed), np.arange(cuts)
     for _ in range(rounds):
         for k in rng.permutation(len(rows)):
             x = rows[k]
-            scale = 1 / np.sqrt(len(x))
+            scale = 1 / np.sqrt(max(1, len(x)))
             error = 1 / (1 + np.exp(np.clip(theta - w[x].sum(), -50, 50))) - (grades[k] > above)
             g = error.sum() * scale
             g2[x] += g * g
@@ -91,8 +104,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 80
 
     # The sample is bounded by its parameter, and so is what is broadcast.
     found = two(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, x array<int>")
-    rows = sorted((r.doc_id, r.grade, tuple(r.x)) for r in found.toLocalIterator())
-    return fit([np.array(x, np.int64) for _, _, x in rows], np.array([g for _, g, _ in rows]), grades)
+    rows = sorted(((r.doc_id, r.grade, np.array(r.x, np.int64)) for r in found.toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tolist()))
+    return fit([x for _, _, x in rows], np.array([g for _, g, _ in rows]), grades)
 
 
 def rate(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
