@@ -111,7 +111,7 @@ def test_segment_keys_lose_no_pair():
     for num in (80, 90):
         for size in [*range(1, 40), 77, 150, 400]:
             for _ in range(6):
-                s = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+                s = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
                 most = jaccard.most_apart(len(s), len(s), num, 100)
                 gone = rng.integers(0, most // 2 + 1)
                 t = np.unique(np.concatenate([s[gone:], rng.integers(0, 1 << 63, rng.integers(0, most // 2 + 1), dtype=np.uint64)]))
