@@ -3,12 +3,13 @@
 Sets are banded by size. In a band's scheme, shingles are dealt to segments by hash; two sets of similarity t differ in at most
 H = floor((1 - t) / (1 + t) * (|x| + |y|)) shingles, so that some of H + 1 segments are equal in both (or, for a segment that is
 indexed with its one-deletion neighbourhood, differ by one shingle and count twice). How many segments are indexed plainly and
-how many with neighbourhoods follows from a cost estimate for each band. Sets that share a key form a candidate cluster, which is
-verified exactly in blocks.
+how many with neighbourhoods follows from a cost estimate for each band. Sets that share a key are candidates unless the parities of
+their shingles show that they differ in more than H; connected candidates form a cluster, which is verified exactly in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, MASK, WordHasher, connected_components, cut, forest, groups, mix, shingles
 
 BLOCK = 256
+#: Keys of more sets than this are joined as stars; parities sort out those of fewer.
+SORTED_OUT = 4096
+#: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 SIGNED = "doc_id long, n long, fp1 long, fp2 long"
 
 
@@ -40,25 +45,37 @@ def schemes(num: int, den: int, most: int) -> list[tuple[int, int, int, int, int
     while first <= most or not out:
         last = max(first, first * den // num)
         h = (den - num) * (last + last * den // num) // (den + num)
-        out.append((first, last, h, *allocate(h, last)))
+        out.append((first, last, h, *allocate(h, first, last)))
         first = last + 1
     return out
 
 
-def allocate(h: int, size: int, share: float = 0.5, price: float = 1000.0) -> tuple[int, int]:
-    """Plain segments and segments with one-deletion neighbourhoods whose weights 1 and 2 come to h + 1 (one more from h = 4 on,
-    so that an empty segment seldom matters), at the least cost: keys written, and price times the chance that sets which share
-    half of their shingles by chance meet in a key."""
-    need = h + 1 + (h >= 4)
-    best = None
-    for q in {0, need // 2, (need + 1) // 2, *(round(need * f / 20) for f in range(11))}:
-        p = max(0, need - 2 * q)
-        if p + q < 1:
-            continue
-        held = size / (p + q)
-        cost = p + q * (1 + held) + price * (p * share**held + q * held * share ** max(0.0, held - 1))
-        if best is None or cost < best[0]:
-            best = (cost, p, q)
+def more_than(k: int, mean: float) -> float:
+    """Chance that a Poisson number is over k."""
+    term = total = math.exp(-mean)
+    for i in range(1, k + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1 - total)
+
+
+def allocate(h: int, first: int, last: int, share: float = 0.5, price: float = 2.0) -> tuple[int, int]:
+    """Plain segments and segments with one-deletion neighbourhoods, of weights 1 and 2, that together weigh h + 1 at least.
+
+    Of many choices the one of least estimated cost for a set of the band: keys written; the neighbourhoods that a set needs if more of its
+    segments are empty than there is weight to spare; and price times the chance that sets which share half of their shingles meet in a key.
+    """
+    need, best = h + 1, None
+    for spare in sorted({*range(7), *(round(need * f / 40) for f in range(21))}):
+        for q in sorted({round((need + spare) * f / 20) for f in range(11)}):
+            p = max(0, need + spare - 2 * q)
+            if p + q < 1:
+                continue
+            held = first / (p + q)
+            short = more_than(int((p + 2 * q - need) * (p + q) / (p + 2 * q)), (p + q) * math.exp(-held))
+            cost = p + q * (1 + held) + short * (last + p + q) + price * (p * share**held + q * held * share ** max(0.0, held - 1))
+            if best is None or cost < best[0]:
+                best = (cost, p, q)
     return best[1:]
 
 
@@ -93,7 +110,7 @@ def content_keys(s: np.ndarray, plain: int, deep: int, h: int, tag: int) -> np.n
 
 def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a sorted set in its own band's scheme and in that of the band below, whose sets may be similar."""
-    table = schemes(num, den, 1 << max(10, int(len(s)).bit_length()))
+    table = schemes(num, den, 1 << max(14, int(len(s)).bit_length()))
     k = next(i for i, x in enumerate(table) if x[1] >= len(s))
     return np.unique(np.concatenate([content_keys(s, table[i][3], table[i][4], table[i][2], i + 1) for i in (k - 1, k) if i >= 0]))
 
@@ -102,12 +119,27 @@ def set_of(text: str | None, n: int, hasher: WordHasher) -> np.ndarray:
     return np.unique(shingles(hasher(text.encode("utf-8", "surrogatepass"))[0], n)) if text else np.zeros(0, np.uint64)
 
 
+def most_apart(a, b, num: int, den: int):
+    """In how many shingles sets of these sizes can differ at most if they are similar."""
+    return (den - num) * (a + b) // (den + num)
+
+
+def parities(s: np.ndarray, num: int, den: int) -> bytes:
+    """Bit k tells whether an odd number of shingles hash to k. Two sets differ in at least as many shingles as their parities differ in
+    bits, also when both are folded to fewer bits; there are so many bits that unlike sets of this size differ in more than is allowed."""
+    need = 2.6 * most_apart(len(s), len(s) * den // num, num, den) + 64
+    size = 64
+    while size < need:
+        size *= 2
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def _long(x: np.ndarray) -> np.ndarray:
     return np.asarray(x).view(np.int64)
 
 
 def _sets(docs: DataFrame, n: int, what: str, num: int = 0, den: int = 1) -> DataFrame:
-    """what: 'sign' for size and fingerprint, 'keys' or 'set' for these with an array of keys or shingles."""
+    """what: 'sign' for size, fingerprint and parities, 'keys' for rows of key and doc_id, 'set' for size, fingerprint and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(BLANKS)
@@ -120,15 +152,70 @@ def _sets(docs: DataFrame, n: int, what: str, num: int = 0, den: int = 1) -> Dat
                     size.append(len(s))
                     one.append(int(_long(mix(s).sum(dtype=np.uint64).reshape(1))[0]) if len(s) else None)
                     two.append(int(_long(mix(s + np.uint64(12345)).sum(dtype=np.uint64).reshape(1))[0]) if len(s) else None)
-                    if what != "sign":
-                        more.append(_long(keys_of(s, num, den) if what == "keys" and len(s) else s))
+                    more.append(parities(s, num, den) if what == "sign" else _long(keys_of(s, num, den) if what == "keys" and len(s) else s))
+                if what == "keys":
+                    ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), list(map(len, more)))
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(more)), pa.array(ids)], names=["key", "doc_id"])
+                    continue
                 cols = [part.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
-                if what != "sign":
+                if what == "sign":
+                    cols.append(pa.array(more, pa.binary()))
+                else:
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in more]))).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(more) if more else np.zeros(0, np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp1", "fp2", "items"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp1", "fp2", "items"])
+
+    return docs.mapInArrow(run, {"sign": SIGNED + ", items binary", "keys": "key long, doc_id long", "set": SIGNED + ", items array<long>"}[what])
+
+
+def _sort_out(num: int, den: int):
+    """For rows key, doc_id, n, items (parities), sorted by key: edges a, b that join the sets of a key which may be similar, as far as
+    their sizes and parities tell."""
+
+    def parts(ids: np.ndarray, n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
+        size = min(map(len, bits)) // 8
+        rows = np.empty((len(ids), size), np.uint64)
+        for k, b in enumerate(bits):
+            x = np.frombuffer(b, np.uint64)
+            rows[k] = x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size))
+        left = np.arange(len(ids))
+        while len(left) > 1:
+            first, front, left = left[0], [left[0]], left[1:]
+            while front and len(left):
+                k = front.pop()
+                m = n[left]
+                near = np.bitwise_count(rows[left] ^ rows[k]).sum(1) <= most_apart(m, n[k], num, den)
+                near &= den * np.minimum(m, n[k]) >= num * np.maximum(m, n[k])
+                for j in left[near].tolist():
+                    front.append(j)
+                    yield int(ids[j]), int(ids[first])
+                left = left[~near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _ended(batches):
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            keys = table.column("key").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist()
+            if batch is not None:
+                held = table.slice(cuts[-2])
+                cuts.pop()
+            ids, n, bits = table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("items").slice(0, cuts[-1]).to_pylist()
+            edges = {e for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for e in parts(ids[a:b], n[a:b], bits[a:b])}
+            if edges:
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return docs.mapInArrow(run, SIGNED + ("" if what == "sign" else ", items array<long>"))
+    return run
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, and None after them."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
 
 def _links(num: int, den: int):
@@ -187,14 +274,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(_sets(docs, n, "sign"))
+    signed = cut(_sets(docs, n, "sign", num, den))
     classes = signed.where("fp1 IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id"))
-
-    keyed = _sets(docs.where("doc_id IS NOT NULL"), n, "keys", num, den).where("n > 0")
-    keyed = keyed.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "items")).alias("x")).select("x.doc_id", F.explode("x.items").alias("key")).repartition("key")
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
-    met = keyed.join(hubs.hint("shuffle_hash"), "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = cut(connected_components(met).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    copies = signed.join(classes, ["fp1", "fp2"]).where("doc_id <> class_id").select("doc_id").distinct()
+    reps = docs.where("doc_id IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+
+    keyed = _sets(reps.select("doc_id", "text"), n, "keys", num, den).repartition("key")
+    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).where("k > 1")
+    met = cut(keyed.join(hubs.hint("shuffle_hash"), "key"))
+    sketches = signed.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "items").dropDuplicates(["doc_id"])
+    few = met.where(F.col("k") <= SORTED_OUT).select("key", "doc_id").join(sketches, "doc_id").select("key", "doc_id", "n", "items")
+    few = few.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_sort_out(num, den), "a long, b long")
+    many = met.where(F.col("k") > SORTED_OUT).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    clusters = cut(connected_components(few.union(many)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
 
     sets = cut(_sets(docs.join(clusters.select("doc_id"), "doc_id", "left_semi"), n, "set").dropDuplicates(["doc_id"]))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
