@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, forest, groups
+from .common import connected_components, cut, forest, groups, least_hashed
 
 BLOCK = 512
 
@@ -74,7 +74,7 @@ def _pairs(classes: DataFrame, dims: int, cosine: float, sample: int, recall: fl
     if n < 2:
         return None
     # The sample is bounded by its parameter; the index is not.
-    taken = np.array([r[0] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()], np.float64)
+    taken = np.array([r[0] for r in least_hashed(classes, sample, "rep", total=n).select("v").collect()], np.float64)
     taken /= np.linalg.norm(taken / np.abs(taken).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(taken).max(1, keepdims=True)
     bits, tables, rotations = plan(n, cosine, recall, dims)
     turns = learn_rotations(taken, rotations)

@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
 from .tokens import parts, two
 
 SPAN = 64
@@ -178,15 +179,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("raw"))
     rows = rows.where(~held_out("i") & F.col("i").isNotNull() & F.col("lang").isNotNull() & (F.length("raw") >= 8))
-    known = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).select("lang").collect()]
+    known = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
     if not known:
         return None
     each = max(8, sample // len(known))
     start = F.expr(f"cast(1 + pmod(xxhash64(i, 1), greatest(1, length(raw) - {8 * SPAN} + 1)) as int)")
-    rows = rows.select("i", "lang", F.xxhash64("i", F.lit(5)).alias("h"), F.substring("raw", start, F.lit(8 * SPAN)).alias("raw"))
+    rows = rows.select("i", "lang", F.substring("raw", start, F.lit(8 * SPAN)).alias("raw"))
     data, target = [], []
     for k, lang in enumerate(sorted(known)):
-        for r in rows.where(F.col("lang") == lang).orderBy("h", "i").limit(each).select("raw").collect():
+        for r in least_hashed(rows.where(F.col("lang") == lang), each, "i", total=known[lang]).select("raw").collect():
             raw = bytes(r[0])
             for at in range(0, max(1, len(raw) - SPAN + 1), SPAN):
                 data.append(raw[at : at + SPAN].ljust(SPAN, b" "))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import IdEncoder, cut_pieces, parts, two
+from .tokens import cut_pieces, id_encoder, parts, two
 
 
 class BestFit:
@@ -57,7 +57,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, open_bin
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = IdEncoder(path), int(end_id).to_bytes(4, "little")
+        encoder, last = id_encoder(path), int(end_id).to_bytes(4, "little")
         for ids, texts in parts(batches):
             rows = [(i, k, *x) for i, t in zip(ids.to_pylist(), texts, strict=True) for k, x in enumerate(cut_pieces(encoder(t) + last, size))]
             columns = list(zip(*rows, strict=True))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix
+from .common import WordHasher, least_hashed, mix
 from .tokens import parts, two
 
 #: Words part at ASCII characters that are no letters or digits; marks are the runs of such characters but blanks.
@@ -95,7 +95,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 80
     """Fit on `sample` rated documents at most, those of least hash. ratings: doc_id and grade (0 to grades - 1); of several ratings of
     a document the least counts, and null ids and grades don't. Without any, all thresholds are even and all weights zero."""
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = least_hashed(rated, sample, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
