@@ -25,7 +25,9 @@ MARKS = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer menu modal nav navbar navigation newsletter notice "
     "notices pagination popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget complementary contentinfo".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: A tag from its name on, with quoted attribute values; and one whose quotes don't end.
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)")
+LOOSE = re.compile(r"(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -37,7 +39,7 @@ def mark(name: str, attributes: str, inside: bool) -> int:
     if name in ASIDE:
         return OFF
     found = PLAIN
-    if attributes and "=" in attributes or "hidden" in attributes:
+    if attributes and ("=" in attributes or "hidden" in attributes):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -62,25 +64,38 @@ def lines(page: str) -> list[tuple[int, str]]:
     state, at, n = PLAIN, 0, len(page)
 
     def end_line() -> None:
-        text = " ".join(references.unescape("".join(words)).split())
+        text = "".join(words)
+        text = " ".join((references.unescape(text) if "&" in text else text).split())
         if text:
             out.append((state, text))
         words.clear()
 
     while at < n:
-        m = TAG.search(page, at)
+        lt = page.find("<", at)
+        if lt != at:
+            words.append(page[at : lt if lt >= 0 else n])
+            at = lt
+            if lt < 0:
+                break
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark_end, skip = ("-->", 3) if page[at + 2] == "-" else ("]]>", 3)
+            end = page.find(mark_end, at + 4)
+            if page[at + 2] == "[":
+                words.append(page[at + 9 : end if end >= 0 else n])
+            at = end + skip if end >= 0 else n
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else n
+            continue
+        m = TAG.match(page, at + 1) or LOOSE.match(page, at + 1)
         if not m:
-            words.append(page[at:])
-            break
-        if m.start() > at:
-            words.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                words.append(m[0][9:-3])
+            words.append("<")
+            at += 1
             continue
-        closing, attributes = (m[1] or m[4] or "") == "/", m[3] or m[6] or ""
+        at = m.end()
+        name = m[2].lower()
+        closing, attributes = m[1] == "/", m[3]
         if name in LINES:
             end_line()
         if closing:
