@@ -321,6 +321,23 @@ def test_decontamination(spark, small):
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_frequent_edited_copies(spark):
+    """Copies in hundreds of documents, with every fifth or third word replaced, spread out, or half of an item."""
+    item = [f"w{k}" for k in range(40)]
+    fifth = [f"new{k}" if k % 5 == 2 else w for k, w in enumerate(item)]
+    third = [f"new{k}" if k % 3 == 2 else w for k, w in enumerate(item)]
+    spread = [x for w in item for x in (w, "and")][:-1]
+    edited = [" ".join(x) for x in (fifth, third, spread, item[15:36])]
+    rows = [(k, " ".join(item), None, None, None) for k in range(3)]
+    rows += [(100 + k, f"before {edited[k % 4]} after {k}", None, None, None) for k in range(400)]
+    rows += [(1000 + k, " ".join(item[2 * k : 2 * k + 19]), None, None, None) for k in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert set(got) == {r[0] for r in rows if r[0] < 1000}
+    assert all(got[r[0]] == smith_waterman(item, r[1].split()) / 80 for r in rows if r[0] < 1000)
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()} == set(range(1000, 1010))
+
+
 def test_embeddings(spark, small):
     rng = np.random.default_rng(5)
     rows = [(r.vec_id, [float(x) for x in r.embedding], 0) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
