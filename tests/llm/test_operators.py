@@ -398,6 +398,19 @@ def test_html(spark, small):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_boilerplate_inside_articles(spark):
+    """Unmarked menus that all pages of a host share go, passages that two of them share stay, also in copies of a page."""
+    page = "<article><div>Menu one</div><h1>Title {k}</h1><p>{own}</p><div>Notice to all readers</div></article>"
+    own = lambda k: "A passage of two." if k in (3, 4) else f"Own text of page {k}."
+    rows = [(k, f"http://h.org/{k}", page.format(k=k, own=own(k))) for k in range(9)]
+    rows += [(100 + k, f"http://h.org/4?copy={k}", page.format(k=4, own=own(4))) for k in range(3)]
+    rows += [(200 + k, f"http://copies.org/{k}", page.format(k=0, own="Same")) for k in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert all(got[k] == f"Title {k} {own(k)}" for k in range(3)) and got[8] == "Title 8 Own text of page 8."
+    assert all(got[k] == "Title 4 A passage of two." for k in (4, 100, 101, 102)) and got[3] == "Title 3 A passage of two."
+    assert all(got[200 + k] == "Menu one Title 0 Same Notice to all readers" for k in range(6))
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(300):

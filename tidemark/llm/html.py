@@ -1,12 +1,13 @@
 """Main text of web pages: structure tells what surely is and isn't the article; pages next to each other by URL within a host are
-aligned line by line, and lines that both have are deleted where structure doesn't decide."""
+aligned line by line, and lines that they share are deleted: in an article those of several near pages, else those of one."""
 
 from __future__ import annotations
 
 import html as references
 import re
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -32,6 +33,8 @@ ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop|hidden|aria-hidden
 PARTS = re.compile(r"[a-z]+")
 
 PLAIN, ARTICLE, OFF = 0, 1, 2
+#: Pages before and after a page that it may be compared with, those of them that are, and those that make a line of an article boilerplate.
+REACH, NEAR, SEVERAL = 8, 8, 3
 
 
 def mark(name: str, attributes: str, inside: bool) -> int:
@@ -164,17 +167,45 @@ def shared(a: list[str], b: list[str]) -> np.ndarray:
     return hit
 
 
-def main_text(page: list[tuple[int, str]], near: list[tuple[int, str]] | None) -> str:
-    """The article's lines where structure names one; else the lines that aren't marked off, less those shared with the near page.
+def _size(texts: list[str], which: np.ndarray) -> int:
+    return sum(len(t) for t, w in zip(texts, which, strict=True) if w)
 
-    If the near page shares over half of these lines' characters, it is a copy of the page and tells nothing.
+
+def compared(own: list[str], near: Iterable[list[tuple[int, str]]]) -> list[np.ndarray]:
+    """Which of a page's lines each near page shares, of the first pages that aren't copies of it or of each other, NEAR at most.
+
+    A copy leaves less than a hundredth of both pages' characters unshared; it tells nothing.
+    """
+    out, seen, mine, total = [], [], set(own), sum(map(len, own))
+    for other in near:
+        theirs = [t for s, t in other if s != OFF]
+        if theirs in seen:
+            continue
+        seen.append(theirs)
+        hit = np.zeros(len(own), bool) if mine.isdisjoint(theirs) else shared(own, theirs)
+        both = _size(own, hit)
+        if 100 * (total - both) >= total or 100 * (sum(map(len, theirs)) - both) >= sum(map(len, theirs)):
+            out.append(hit)
+            if len(out) == NEAR:
+                break
+    return out
+
+
+def main_text(page: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> str:
+    """The article's lines where structure names one, else the lines that aren't marked off, less what pages near by URL share.
+
+    Of an article, lines go that SEVERAL near pages share, and three in four of them: articles of one site may share passages with a page or two.
     """
     if any(s == ARTICLE for s, _ in page):
-        return " ".join(t for s, t in page if s == ARTICLE)
+        rest = [t for s, t in page if s == ARTICLE]
+        votes = compared(rest, near)
+        many = sum(votes, np.zeros(len(rest), np.int64))
+        gone = (many >= SEVERAL) & (4 * many >= 3 * len(votes))
+        return " ".join(t for t, g in zip(rest, gone, strict=True) if not g)
     rest = [t for s, t in page if s == PLAIN]
-    if near is not None and rest:
-        gone = shared(rest, [t for s, t in near if s == PLAIN])
-        if 2 * sum(len(t) for t, g in zip(rest, gone, strict=True) if g) <= sum(map(len, rest)):
+    if near and rest:
+        gone = shared(rest, [t for s, t in near[0] if s == PLAIN])
+        if 2 * _size(rest, gone) <= sum(map(len, rest)):
             rest = [t for t, g in zip(rest, gone, strict=True) if not g]
     return " ".join(rest)
 
@@ -203,8 +234,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text and n_chars of each row.
 
     Null and empty pages have an empty text. Pages are sorted by host and path in ranges, so that a host of any size is spread over
-    tasks; each is compared with the page before it in its host and range, the first with the one after it, a lone one with none. Pages
-    without URL or host form one host. Ties of URL go by id. Repeated rows each give a row. Columns other than the three named are not
+    tasks; each is compared with those of up to REACH pages before and after it in its host and range that aren't its copies, NEAR at most,
+    a lone one with none. Pages without URL or host form one host. Ties of URL go by id. Repeated rows each give a row. Columns other than the three named are not
     read. What is shuffled is each page's lines, compressed.
     """
 
@@ -221,31 +252,43 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "packed")), strict=True)
 
-        done: list[tuple] = []
-        before = held = None
-
         def batch_of(some: list[tuple]) -> pa.RecordBatch:
             ids, urls, texts = zip(*some, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-        for i, u, host, packed in rows():
-            page = _unpack(packed)
-            if held and held[2] == host:
-                done.append((held[0], held[1], main_text(held[3], page)))
-                held = None
-            elif held:
-                done.append((held[0], held[1], main_text(held[3], None)))
-                held = None
-            if before and before[0] == host:
-                done.append((i, u, main_text(page, before[1])))
-            else:
-                held = (i, u, host, page)
-            before = (host, page)
+        def texts():
+            """The page in the middle of the window is told once REACH pages after it, or the last of its host, are read."""
+            window: deque = deque()
+            at = 0
+
+            def told() -> tuple:
+                i, u, _, page = window[at]
+                # By distance, the page before a page first.
+                order = [at + d * side for d in range(1, REACH + 1) for side in (-1, 1)]
+                return i, u, main_text(page, [window[k][3] for k in order if 0 <= k < len(window)])
+
+            for i, u, host, packed in rows():
+                if window and window[-1][2] != host:
+                    for at in range(at, len(window)):
+                        yield told()
+                    window.clear()
+                    at = 0
+                window.append((i, u, host, _unpack(packed)))
+                if len(window) > at + REACH:
+                    yield told()
+                    at += 1
+                    if at > REACH:
+                        window.popleft()
+                        at -= 1
+            for at in range(at, len(window)):
+                yield told()
+
+        done: list[tuple] = []
+        for row in texts():
+            done.append(row)
             if len(done) >= 1000:
                 yield batch_of(done)
                 done = []
-        if held:
-            done.append((held[0], held[1], main_text(held[3], None)))
         if done:
             yield batch_of(done)
 
