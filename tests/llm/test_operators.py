@@ -411,6 +411,21 @@ def test_html_boilerplate_inside_articles(spark):
     assert all(got[200 + k] == "Menu one Title 0 Same Notice to all readers" for k in range(6))
 
 
+def test_html_boilerplate_over_half_and_near_copies(spark):
+    menu = "".join(f"<div>Menu entry number {k} of many</div>" for k in range(12))
+    long = "".join(f"<p>Sentence {k} of the story that was told twice.</p>" for k in range(12))
+    rows = [(k, f"http://short.org/{k}", f"{menu}<p>Short text {k}.</p><div>Imprint and contact</div>") for k in range(2)]
+    rows += [(10 + k, f"http://near.org/a/{k}", f"<div>Menu one</div>{long}<p>Told {k} times.</p>") for k in range(2)]
+    rows += [(12 + k, f"http://near.org/b/{k}", f"<div>Menu one</div><p>Something else, number {k}.</p>") for k in range(2)]
+    rows += [(20 + k, f"http://copy.org/a/{k}", f"<div>Menu one</div>{long}") for k in range(3)]
+    rows += [(23, "http://copy.org/b", "<div>Menu one</div><p>Another page.</p>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert [got[k] for k in range(2)] == ["Short text 0.", "Short text 1."]
+    story = " ".join(f"Sentence {k} of the story that was told twice." for k in range(12))
+    assert [got[10 + k] for k in range(4)] == [f"{story} Told 0 times.", f"{story} Told 1 times.", "Something else, number 0.", "Something else, number 1."]
+    assert [got[20 + k] for k in range(4)] == [story, story, story, "Another page."]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(300):

@@ -1,5 +1,5 @@
 """Main text of web pages: structure tells what surely is and isn't the article; pages next to each other by URL within a host are
-aligned line by line, and lines that they share are deleted: in an article those of several near pages, else those of one."""
+aligned line by line, and lines that they share are deleted: in an article those of several near pages, else those of the nearest that isn't much like it too."""
 
 from __future__ import annotations
 
@@ -194,20 +194,19 @@ def compared(own: list[str], near: Iterable[list[tuple[int, str]]]) -> list[np.n
 def main_text(page: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> str:
     """The article's lines where structure names one, else the lines that aren't marked off, less what pages near by URL share.
 
-    Of an article, lines go that SEVERAL near pages share, and three in four of them: articles of one site may share passages with a page or two.
+    Lines go that SEVERAL near pages share, and three in four of them: articles of one site may share passages with a page or two. Without
+    an article, so do those shared with the nearest page that shares half of the page's characters at most; if all share more, be it for
+    long menus or as near copies, with the page that shares least. Copies are no near pages, so that a page with copies alone stays whole.
     """
-    if any(s == ARTICLE for s, _ in page):
-        rest = [t for s, t in page if s == ARTICLE]
-        votes = compared(rest, near)
-        many = sum(votes, np.zeros(len(rest), np.int64))
-        gone = (many >= SEVERAL) & (4 * many >= 3 * len(votes))
-        return " ".join(t for t, g in zip(rest, gone, strict=True) if not g)
-    rest = [t for s, t in page if s == PLAIN]
-    if near and rest:
-        gone = shared(rest, [t for s, t in near[0] if s == PLAIN])
-        if 2 * _size(rest, gone) <= sum(map(len, rest)):
-            rest = [t for t, g in zip(rest, gone, strict=True) if not g]
-    return " ".join(rest)
+    kind = ARTICLE if any(s == ARTICLE for s, _ in page) else PLAIN
+    rest = [t for s, t in page if s == kind]
+    votes = compared(rest, near)
+    many = sum(votes, np.zeros(len(rest), np.int64))
+    gone = (many >= SEVERAL) & (4 * many >= 3 * len(votes))
+    if kind == PLAIN and votes:
+        sizes, half = [_size(rest, v) for v in votes], sum(map(len, rest)) / 2
+        gone |= votes[next((k for k, x in enumerate(sizes) if x <= half), int(np.argmin(sizes)))]
+    return " ".join(t for t, g in zip(rest, gone, strict=True) if not g)
 
 
 def place(url: str | None) -> tuple[str, str]:
