@@ -67,7 +67,7 @@ class Finder:
         if not text:
             return []
         out: list[tuple[str, int, int]] = []
-        done = {"email": 0, "ip": 0, "card": 0, "phone": 0, "run": 0, "more": 0}
+        done = {"email": 0, "ip": 0, "card": 0, "phone": 0, "run": 0, "more": 0, "end": 0, "digit": -1, "letter": -1}
         for last, (kind, form) in self.automaton.iter(text):
             at = last - len(form) + 1
             if kind == "@":
@@ -181,22 +181,63 @@ class Finder:
                 done["more"] = c
             return
         c = b
+        while c < n and c - b < 24 and t[c] in " :=#\"'.":
+            c += 1
+        # Countries' letters may begin like a word between cue and number (NL, NO, IS): an IBAN right after the cue goes first.
+        d = Finder._iban(t, c) if kind == "account" and c > b else 0
+        if d:
+            out.append((kind, c, d))
+            done["more"] = d
+            return
         while c < n and c - b < 24 and (t[c] in " :=#\"'." or (kind == "account" and t[c] in LETTERS and t[b:c].strip(" :#.").lower() + t[c].lower() in CONNECT)):
             c += 1
         if c == b or (kind == "secret" and not ("=" in t[b:c] or ":" in t[b:c])):
             return
-        d, allowed = c, SECRET if kind == "secret" else LETTERS | DIGITS | frozenset(" -")
-        while d < n and d - c < 256 and t[d] in allowed and not (t[d] == " " and (d + 1 >= n or t[d + 1] not in DIGITS)):
-            d += 1
-        found = t[c:d].rstrip(" -=") if kind == "account" else t[c:d]
-        flat = found.replace(" ", "").replace("-", "").upper()
         if kind == "secret":
-            good = len(found) >= 8 and any(x in DIGITS for x in found) and any(x in LETTERS for x in found)
+            if c >= done["end"]:
+                # A run with many cues is read once: its end, and its last digit and letter.
+                d = c
+                while d < n and t[d] in SECRET:
+                    if t[d] in DIGITS:
+                        done["digit"] = d
+                    elif t[d] in LETTERS:
+                        done["letter"] = d
+                    d += 1
+                done["end"] = d
+            d = done["end"] if done["end"] - c >= 8 and done["digit"] >= c and done["letter"] >= c else c
         else:
-            good = iban(flat) or (flat.isdigit() and 6 <= len(flat) <= 20)
-        if good:
-            out.append((kind, c, c + len(found)))
-            done["more"] = c + len(found)
+            d = Finder._iban(t, c) or Finder._number(t, c)
+        if d > c:
+            out.append((kind, c, d))
+            done["more"] = d
+
+    @staticmethod
+    def _iban(t: str, c: int) -> int:
+        """End of the longest IBAN from c on: groups of letters or digits, parted by a blank or hyphens; 0 if none passes its check digits."""
+        d, n, flat, end = c, len(t), "", 0
+        while d < n and len(flat) < 34:
+            if t[d] in LETTERS or t[d] in DIGITS:
+                flat += t[d].upper()
+                if len(flat) >= 15 and not (d + 1 < n and (t[d + 1] in LETTERS or t[d + 1] in DIGITS)) and iban(flat):
+                    end = d + 1
+            elif not flat or not (t[d] == "-" or (t[d] == " " and t[d - 1] != " ")):
+                break
+            d += 1
+        return end
+
+    @staticmethod
+    def _number(t: str, c: int) -> int:
+        """End of 6 to 20 digits from c on, with hyphens or blanks before digits between; 0 if there aren't, or if letters join them."""
+        d, n, digits, end = c, len(t), 0, 0
+        while d < n and digits <= 20:
+            if t[d] in DIGITS:
+                digits, end = digits + 1, d + 1
+            elif t[d] in LETTERS:
+                return 0
+            elif not (t[d] == "-" or (t[d] == " " and d + 1 < n and t[d + 1] in DIGITS)):
+                break
+            d += 1
+        return end if 6 <= digits <= 20 else 0
 
 
 #: What may stand between a cue and the number, with every beginning of it.
