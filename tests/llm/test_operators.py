@@ -389,6 +389,27 @@ def test_embeddings_blocks(spark):
     assert all(got[k].n_links <= near[k] for k in got) and sum(r.n_links for r in got.values()) >= 0.9 * near.sum()
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Near vectors of each length link, those of lengths that are indexed and those of few that are compared whole."""
+    rng, rows = np.random.default_rng(8), []
+    for d, n in ((16, 120), (24, 100), (12, 20), (8, 2), (5, 1)):
+        base = rng.standard_normal((max(1, n // 4), d))
+        rows += [(1000 * d + k, (base[k % len(base)] + rng.standard_normal(d) * 0.01).tolist()) for k in range(n)]
+    keep, hamming.BLOCK = hamming.BLOCK, 40
+    try:
+        got = {r.vec_id: r for r in hamming.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    finally:
+        hamming.BLOCK = keep
+    for d in (16, 24, 12, 8, 5):
+        ids = [i for i, v in rows if len(v) == d]
+        x = np.array([v for _, v in rows if len(v) == d])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = (x @ x.T >= 0.95).sum(1) - 1
+        assert sum(got[i].n_links for i in ids) >= 0.9 * near.sum() and all(got[i].n_links <= k for i, k in zip(ids, near, strict=True))
+        assert {got[i].component_id // 1000 for i in ids} == {d}
+        assert d in (16, 24) or [got[i].n_links for i in ids] == near.tolist()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><nav><a href="/x">Home</a></nav><!-- c --><div class="ad">Buy</div>
 <article><h1>Title &amp; more</h1><p>First <b>bo</b>ld&nbsp;line.<br>Second<p>Unclosed {n}<script>var t="</p>";</script></p><aside>Side</aside><form>F</form><div class="comments">C</div></article><footer>&copy; foot</footer></body></html>"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,9 @@ def plan(n: int, cosine: float, recall: float, dims: int) -> tuple[int, int, int
 def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, sample: int = 8192, recall: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
-    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing and are their own component; so do
-    vectors of another length than the most frequent one, except with their equals. Equal vectors are one class, compared once and
+    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing and are their own component. Vectors
+    link with those of their length only; each length has its own rotations and index, but lengths of BLOCK classes at most, other than
+    the most frequent one, are compared whole. Equal vectors are one class, compared once and
     counted as often as they occur; rows that share an id count as one node in components. The rotations are learned from `sample`
     vectors of least hash at most; all vectors are indexed. A bucket of more than BLOCK classes is compared in blocks, all of it; a
     pair is counted in the first table where it meets. Columns other than the two named are not read.
@@ -53,8 +55,15 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     usable = F.coalesce(F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x <> 0)"), F.lit(False))
     good = rows.where(usable & F.col("vec_id").isNotNull())
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    common = classes.groupBy(F.size("v").alias("d")).agg(F.sum("copies").alias("k")).orderBy(F.desc("k"), "d").limit(1).collect()
-    pairs = _pairs(classes.where(F.size("v") == common[0]["d"]), common[0]["d"], cosine, sample, recall) if common else None
+    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum("copies").alias("k")).where("n > 1")
+    common = sizes.orderBy(F.desc("k"), "d").limit(1).collect()
+    # Lengths of more than BLOCK classes are at most a share 1 / BLOCK of the rows.
+    indexed = {r["d"] for r in common} | {r["d"] for r in sizes.where(F.col("n") > BLOCK).select("d").collect()}
+    some = [_pairs(classes.where(F.size("v") == d), d, cosine, sample, recall) for d in sorted(indexed)]
+    if not sizes.where(~F.col("d").isin(*indexed)).isEmpty():
+        some.append(_whole(classes.where(~F.size("v").isin(*indexed)), cosine))
+    some = [p for p in some if p is not None]
+    pairs = reduce(DataFrame.union, some) if some else None
     own = classes.select("v", "rep", "copies")
     if pairs is not None:
         counts = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -68,6 +77,28 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return out.select("vec_id", n.alias("n_links"), c.alias("component_id"), F.coalesce(F.col("vec_id") == c, F.lit(False)).alias("kept"))
 
 
+def _whole(classes: DataFrame, cosine: float) -> DataFrame:
+    """As _pairs, of all pairs of equal length."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "d"):
+            if table.num_rows < 2:
+                continue
+            table = table.combine_chunks()
+            rep, copies = (table.column(c).to_numpy() for c in ("rep", "copies"))
+            v = table.column("v").chunk(0).flatten().to_numpy().reshape(len(rep), -1)
+            scale = np.abs(v).max(1, keepdims=True)
+            unit = v / (np.linalg.norm(v / scale, axis=1, keepdims=True) * scale)
+            linked = unit @ unit.T >= cosine
+            np.fill_diagonal(linked, False)
+            count, root = (linked * copies[None, :]).sum(1).astype(np.int64), rep[forest(linked)]
+            some = np.flatnonzero((count > 0) | (root != rep))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(count[some]), pa.array(root[some])], names=["rep", "links", "b"])
+
+    rows = classes.select(F.size("v").alias("d"), "rep", "copies", "v")
+    return cut(rows.repartition("d").sortWithinPartitions("d").mapInArrow(compare, "rep long, links long, b long"))
+
+
 def _pairs(classes: DataFrame, dims: int, cosine: float, sample: int, recall: float) -> DataFrame | None:
     """rep, links (rows linked with it, by classes), b (a class of the same component), in several rows for each rep."""
     n = classes.count()
