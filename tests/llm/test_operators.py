@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemark.llm import decontaminate, hamming, html, jaccard, langid, packing, pii, quality, tokens, warc
+from tidemark.llm import common, decontaminate, hamming, html, jaccard, langid, packing, pii, quality, queries, tokens, warc
 from tidemark.llm.common import BLANKS, WordHasher, connected_components
 
 DOCS = "doc_id long, text string, lang string, fp1 long, items string"
@@ -90,15 +90,75 @@ def test_jaccard_large_cluster_and_null_id(spark):
             w[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
         rows.append((k, " ".join(w), None, None, None))
     want = jaccard_brute([r[:2] for r in rows], 3, 90, 100)
-    rows += [(None, rows[0][1], None, None, None), (5, rows[5][1], None, None, None)]
-    keep = jaccard.SORTED_OUT
-    for most in (keep, 20):
-        jaccard.SORTED_OUT = most
+    rows += [(None, rows[0][1], None, None, None), (5, rows[5][1], None, None, None), (None, "only here", None, None, None), (None, "", None, None, None)]
+    keep = jaccard.WIDE, jaccard.BLOCK
+    for sizes in (keep, (40, 50)):
+        jaccard.WIDE, jaccard.BLOCK = sizes
         out = jaccard.ngram_jaccard_join(frame(spark, rows), n=3, num=90).collect()
-        assert len(out) == 702
+        assert len(out) == 704
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == want
-        assert [r.component_id for r in out if r.doc_id is None] == [want[0][1]]
-    jaccard.SORTED_OUT = keep
+        assert sorted((r.n_shingles, r.component_id) for r in out if r.doc_id is None and r.component_id is not None) == [want[0]]
+    jaccard.WIDE, jaccard.BLOCK = keep
+
+
+def test_jaccard_of_many_that_share_a_passage(spark):
+    """Keys that unlike sets share, in several blocks: only what is alike is joined."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for k in range(150):
+        own = [f"o{k // 2}x{j}" for j in range(12)]
+        if k % 2:
+            own[rng.randrange(12)] = "other"
+        rows.append((k, " ".join(passage + own), None, None, None))
+    keep = jaccard.WIDE, jaccard.BLOCK
+    jaccard.WIDE, jaccard.BLOCK = 20, 16
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(frame(spark, rows), n=3, num=80).collect()}
+    jaccard.WIDE, jaccard.BLOCK = keep
+    assert got == jaccard_brute([r[:2] for r in rows], 3, 80, 100)
+
+
+def test_jaccard_repeated_ids_with_other_texts(spark):
+    """Rows of one id are one node with all their texts, whichever of them are copies."""
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{k}" for k in range(60)] for x in "abc")
+    less = lambda w: " ".join(w[:-1])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, less(a)), (3, less(b)), (4, " ".join(b)), (7, " ".join(c)), (6, less(c)), (6, " ".join(a[:30])), (8, None), (8, " ".join(c))]
+    rows += [(20 + rng.randrange(12), " ".join(f"r{k // 3}w{j}" for j in range(rng.choice((20, 40, 40))))) for k in range(30)]
+    sets, by = {}, defaultdict(set)
+    for k, (i, t) in enumerate(rows):
+        w = (t or "").split()
+        sets[k] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+        by[i].add(k)
+    links = [(x, y) for x in sets for y in range(x) if 100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y]) > 0] + [(min(k), x) for k in by.values() for x in k]
+    root = unite(links, sets)
+    least = {r: min(rows[k][0] for k in sets if root[k] == r) for r in set(root.values())}
+    out = jaccard.ngram_jaccard_join(frame(spark, [(i, t, None, None, None) for i, t in rows]), n=3, num=90)
+    assert out.columns[:3] == ["doc_id", "n_shingles", "component_id"]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == sorted((i, len(sets[k]), least[root[k]]) for k, (i, _) in enumerate(rows))
+
+
+def test_distinct_documents(spark, small):
+    """One row of each group stays; ids with several texts and rows without id go or stay by their texts."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a, "x", 1, "i"), (6, a + " more", "x", 2, "i"), (6, b, "x", 3, "i"), (6, b, "x", 3, "i"), (None, b, "x", 4, "i"), (None, "alone here", "x", 5, "i"), (7, "", "x", 6, "i"), (7, None, "x", 7, "i"), (None, None, "x", 8, "i")]
+    got = jaccard.distinct_documents(frame(spark, rows))
+    assert got.columns == frame(spark, []).columns
+    assert sorted(r.fp1 for r in got.collect()) == [1, 3, 5, 6, 7, 8]
+    assert jaccard.distinct_documents(frame(spark, [])).count() == 0
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    root = jaccard_brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100)
+    assert sorted(r.doc_id for r in jaccard.distinct_documents(docs).collect()) == sorted(i for i, (_, c) in root.items() if i == c)
+
+
+def test_queries_match_sql(spark, small):
+    """Queries with SQL against DuckDB."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for name, sql in queries.SQL.items():
+        found, df = con.sql(sql), queries.QUERIES[name](spark, small)
+        assert sorted(found.columns) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(found.columns).collect())) == sorted(found.fetchall())
 
 
 def test_jaccard_empty(spark):
@@ -129,11 +189,16 @@ def test_word_hashes_whatever_the_slices():
 
 
 def test_components(spark):
+    """In one task and in rounds, with hubs that are broadcast."""
     rng = random.Random(1)
-    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*pairs, (5, None)], "a long, b long")).collect()}
-    root = unite(pairs, {x for p in pairs for x in p})
-    assert got == {n: root[n] for p in pairs if p[0] != p[1] for n in p}
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(90)]
+    root, edges = unite(pairs, {x for p in pairs for x in p}), spark.createDataFrame([*pairs, (5, None)], "a long, b long")
+    keep = common.UNITED
+    for most in (keep, 5):
+        common.UNITED = most
+        got = {r.node: r.component for r in connected_components(edges).collect()}
+        assert got == {n: root[n] for p in pairs if p[0] != p[1] for n in p}
+    common.UNITED = keep
 
 
 @pytest.fixture(scope="module")

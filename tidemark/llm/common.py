@@ -155,24 +155,79 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Keys that may be broadcast at most because many rows have them.
+LISTED = 100_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int, weight: str = "k") -> DataFrame:
+    """rows with the columns of table (one row for each key, no null keys) joined by key. weight is the number of rows of a key; those of
+    over a LISTED-th of the `total` rows, of which there are LISTED at most, are broadcast, so that no task gets all rows of a hot key."""
+    hot = max(64, total // LISTED)
+    many, few = table.where(F.col(weight) > hot), table.where(F.col(weight) <= hot)
+    listed = F.broadcast(many.select(key))
+    cold = rows.join(listed, key, "left_anti").join(few, key)
+    return cold.unionByName(rows.join(F.broadcast(many), key))
+
+
+#: Edges that are united at once: in a batch of a partition, and in one task where no more than this are left (16 MB).
+UNITED = 1 << 20
+
+
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges, and the smallest node that each reaches: larger labels are hooked to smaller ones, then labels are followed up."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label != (up := label[label])).any():
+            label = up
+
+
+def ended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, and None after them."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def _unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges a, b of a partition as edges to the smallest node that each reaches within UNITED edges."""
+    held: list[pa.RecordBatch] = []
+    for batch in ended(batches):
+        if batch is not None:
+            held.append(batch)
+        if held and (batch is None or sum(b.num_rows for b in held) >= UNITED):
+            nodes, least = united(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("a", "b")))
+            some = nodes != least
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(least[some])], names=["a", "b"])
+            held = []
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node it reaches) for every node of the edges a, b, by alternating large and small stars.
+    """node, component (the smallest node it reaches) for every node of the edges a, b.
 
-    Each round is two joins on node and is written to the shared folder; rounds grow with the logarithm of the longest chain.
-    Nulls are no nodes; loops add nothing.
+    Edges are united within partitions first. What is left, if UNITED edges at most, is united in one task; else by rounds of alternating
+    large and small stars: each is two joins on node, is written to the shared folder, and looks nodes of many edges up by broadcast, so that
+    a hub isn't one task. Rounds grow with the logarithm of the longest chain. Nulls are no nodes; loops add nothing.
     """
-    now = cut(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
+    now = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").mapInArrow(_unite, "a long, b long"))
+    if now.count() <= UNITED:
+        now = now.repartition(1).mapInArrow(_unite, "a long, b long")
+        return cut(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct()))
     mark = F.expr("struct(count(*), sum(cast(xxhash64(a, b) % 1000000007 as long)), max(a))").alias("m")
     before = None
     while True:
         state = now.agg(mark).first()["m"]
         if state == before or not state[0]:
             break
-        before = state
+        before, total = state, 2 * state[0]
         both = now.select("a", "b").union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = cut(large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("k"))
+        large = cut(lookup(both, least, "a", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        now = cut(lookup(large, least, "a", total).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
     stars = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return stars.union(now.select("b", "b").distinct())
+    return cut(stars.union(now.select("b", "b").distinct()))

@@ -3,8 +3,10 @@
 Sets are banded by size. In a band's scheme, shingles are dealt to segments by hash; two sets of similarity t differ in at most
 H = floor((1 - t) / (1 + t) * (|x| + |y|)) shingles, so that some of H + 1 segments are equal in both (or, for a segment that is
 indexed with its one-deletion neighbourhood, differ by one shingle and count twice). How many segments are indexed plainly and
-how many with neighbourhoods follows from a cost estimate for each band. Sets that share a key are candidates unless the parities of
-their shingles show that they differ in more than H; connected candidates form a cluster, which is verified exactly in blocks.
+how many with neighbourhoods follows from a cost estimate for each band, in which meetings by chance weigh more the larger the corpus is.
+Sets that share a key are candidates unless the parities of their shingles show that they differ in more than H, in blocks for keys of any
+size; connected candidates form a cluster, which is verified exactly in blocks. All this is done for distinct sets, which are numbered by
+their content; ids are joined to them at the end.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BLANKS, MASK, WordHasher, connected_components, cut, forest, groups, mix, shingles
+from .common import BLANKS, MASK, WordHasher, connected_components, cut, ended, forest, groups, lookup, mix, shingles
 
-BLOCK = 256
-#: Keys of more sets than this are joined as stars; parities sort out those of fewer.
-SORTED_OUT = 4096
-#: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-SIGNED = "doc_id long, n long, fp1 long, fp2 long"
+#: Sets of a block that is verified at once, and of a block whose parities are compared at once.
+BLOCK, WIDE = 256, 4096
+#: Ids up to this number are broadcast (their hash relation takes some 50 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Sets whose keys a task remembers to have written, so that repeated rows cost little.
+SEEN = 100_000
 
 
 def bands(size: int, num: int, den: int) -> tuple[int, int, int]:
@@ -39,13 +42,13 @@ def bands(size: int, num: int, den: int) -> tuple[int, int, int]:
 
 
 @lru_cache(maxsize=None)
-def schemes(num: int, den: int, most: int) -> list[tuple[int, int, int, int, int]]:
+def schemes(num: int, den: int, most: int, price: float) -> list[tuple[int, int, int, int, int]]:
     """For each band up to size most: first, last, H, plain segments, segments with neighbourhoods."""
     out, first = [], 1
     while first <= most or not out:
         last = max(first, first * den // num)
         h = (den - num) * (last + last * den // num) // (den + num)
-        out.append((first, last, h, *allocate(h, first, last)))
+        out.append((first, last, h, *allocate(h, first, last, price=price)))
         first = last + 1
     return out
 
@@ -108,9 +111,14 @@ def content_keys(s: np.ndarray, plain: int, deep: int, h: int, tag: int) -> np.n
     return np.concatenate(keys)
 
 
-def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def price_of(sets: int) -> float:
+    """What a meeting by chance costs, in keys written. A set meets more others the more there are, so keys are rarer in a larger corpus."""
+    return 2.0 * math.sqrt(sets / (1 << 18))
+
+
+def keys_of(s: np.ndarray, num: int, den: int, price: float = 2.0) -> np.ndarray:
     """Keys of a sorted set in its own band's scheme and in that of the band below, whose sets may be similar."""
-    table = schemes(num, den, 1 << max(14, int(len(s)).bit_length()))
+    table = schemes(num, den, 1 << max(14, int(len(s)).bit_length()), price)
     k = next(i for i, x in enumerate(table) if x[1] >= len(s))
     return np.unique(np.concatenate([content_keys(s, table[i][3], table[i][4], table[i][2], i + 1) for i in (k - 1, k) if i >= 0]))
 
@@ -138,48 +146,93 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.asarray(x).view(np.int64)
 
 
-def _sets(docs: DataFrame, n: int, what: str, num: int = 0, den: int = 1) -> DataFrame:
-    """what: 'sign' for size, fingerprint and parities, 'keys' for rows of key and doc_id, 'set' for size, fingerprint and shingles."""
+def _node(s: np.ndarray) -> int:
+    """Number of a set: 64 bits that follow from its shingles alone."""
+    return int(_long(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))))[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(BLANKS)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                size, one, two, more = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = set_of(text, n, hasher)
-                    size.append(len(s))
-                    one.append(int(_long(mix(s).sum(dtype=np.uint64).reshape(1))[0]) if len(s) else None)
-                    two.append(int(_long(mix(s + np.uint64(12345)).sum(dtype=np.uint64).reshape(1))[0]) if len(s) else None)
-                    more.append(parities(s, num, den) if what == "sign" else _long(keys_of(s, num, den) if what == "keys" and len(s) else s))
-                if what == "keys":
-                    ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), list(map(len, more)))
-                    if len(ids):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(more)), pa.array(ids)], names=["key", "doc_id"])
-                    continue
-                cols = [part.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
-                if what == "sign":
-                    cols.append(pa.array(more, pa.binary()))
-                else:
-                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in more]))).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(more) if more else np.zeros(0, np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp1", "fp2", "items"])
-
-    return docs.mapInArrow(run, {"sign": SIGNED + ", items binary", "keys": "key long, doc_id long", "set": SIGNED + ", items array<long>"}[what])
-
-
-def _sort_out(num: int, den: int):
-    """For rows key, doc_id, n, items (parities), sorted by key: edges a, b that join the sets of a key which may be similar, as far as
-    their sizes and parities tell."""
-
-    def parts(ids: np.ndarray, n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
+
+def _passes(docs: DataFrame, n: int, size: int = 500):
+    """mapInArrow over id and text with a function of ids and sets of some rows."""
+
+    def over(make, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, made = WordHasher(BLANKS), make()
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    found = made(part.column(0), [set_of(t, n, hasher) for t in part.column(1).to_pylist()])
+                    if found is not None:
+                        yield found
+
+        return docs.mapInArrow(run, schema)
+
+    return over
+
+
+def _signs(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, size, number of the set and its parities for each row. An empty set's number follows from the id; null without one."""
+
+    def make():
+        def batch(ids, sets):
+            cols = [ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([parities(s, num, den) if len(s) else None for s in sets], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "bits"])
+
+        return batch
+
+    rows = _passes(docs, n)(make, "doc_id long, n long, node long, bits binary")
+    return rows.withColumn("node", F.coalesce("node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit("empty")))))
+
+
+def _keys(docs: DataFrame, n: int, num: int, den: int, price: float) -> DataFrame:
+    """key and node of each set."""
+
+    def make():
+        seen: set[int] = set()
+
+        def batch(_, sets):
+            nodes, keys = [], []
+            for s in sets:
+                if len(s) and (node := _node(s)) not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(node)
+                    nodes.append(node)
+                    keys.append(_long(keys_of(s, num, den, price)))
+            if not nodes:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), list(map(len, keys))))], names=["key", "node"])
+
+        return batch
+
+    return _passes(docs, n)(make, "key long, node long")
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """node and shingles of each row that has some."""
+
+    def make():
+        def batch(_, sets):
+            sets = [s for s in sets if len(s)]
+            if not sets:
+                return None
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_long(np.concatenate(sets))))], names=["node", "items"])
+
+        return batch
+
+    return _passes(docs, n)(make, "node long, items array<long>")
+
+
+def _near(num: int, den: int):
+    """For rows gid, node, n, bits sorted by gid: edges a, b that join the sets of a gid which may be similar, as far as their sizes and
+    parities tell. A set that is reached is held against those that aren't yet, so sets that are alike take linear time."""
+
+    def parts(nodes: np.ndarray, n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
         size = min(map(len, bits)) // 8
-        rows = np.empty((len(ids), size), np.uint64)
+        rows = np.empty((len(nodes), size), np.uint64)
         for k, b in enumerate(bits):
             x = np.frombuffer(b, np.uint64)
             rows[k] = x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size))
-        left = np.arange(len(ids))
+        left = np.arange(len(nodes))
         while len(left) > 1:
             first, front, left = left[0], [left[0]], left[1:]
             while front and len(left):
@@ -189,22 +242,23 @@ def _sort_out(num: int, den: int):
                 near &= den * np.minimum(m, n[k]) >= num * np.maximum(m, n[k])
                 for j in left[near].tolist():
                     front.append(j)
-                    yield int(ids[j]), int(ids[first])
+                    if nodes[j] != nodes[first]:
+                        yield int(nodes[j]), int(nodes[first])
                 left = left[~near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in _ended(batches):
+        for batch in ended(batches):
             table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if table is None or not table.num_rows:
                 continue
-            keys = table.column("key").to_numpy()
+            keys = table.column("gid").to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist()
             if batch is not None:
                 held = table.slice(cuts[-2])
                 cuts.pop()
-            ids, n, bits = table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("items").slice(0, cuts[-1]).to_pylist()
-            edges = {e for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for e in parts(ids[a:b], n[a:b], bits[a:b])}
+            nodes, n, bits = table.column("node").to_numpy(), table.column("n").to_numpy(), table.column("bits").slice(0, cuts[-1]).to_pylist()
+            edges = {e for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for e in parts(nodes[a:b], n[a:b], bits[a:b])}
             if edges:
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -212,22 +266,15 @@ def _sort_out(num: int, den: int):
     return run
 
 
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches that have rows, and None after them."""
-    yield from (b for b in batches if b.num_rows)
-    yield None
-
-
 def _links(num: int, den: int):
-    """For the sorted groups of one pair of blocks: edges a, b that join sets which are similar and not known to be joined."""
+    """For rows gid, node, items sorted by gid: edges a, b that join the sets of a gid which are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "gid"):
             table = table.combine_chunks()
-            docs, n, side, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "side", "comp"))
-            items = table.column("items").chunk(0)
-            flat, ends = items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
-            row = np.repeat(np.arange(len(docs)), ends)
+            nodes, items = table.column("node").to_numpy(), table.column("items").chunk(0)
+            n = np.diff(items.offsets.to_numpy())
+            flat, row = items.flatten().to_numpy(), np.repeat(np.arange(len(nodes)), n)
             order = np.argsort(flat, kind="stable")
             flat, row = flat[order], row[order]
             fresh = np.concatenate(([True], flat[1:] != flat[:-1]))
@@ -236,92 +283,155 @@ def _links(num: int, den: int):
             both = counts[gram] > 1
             gram = np.unique(gram[both], return_inverse=True)[1]
             row = row[both]
-            common = np.zeros((len(docs), len(docs)), np.float32)
+            common = np.zeros((len(nodes), len(nodes)), np.float32)
             width = int(gram.max()) + 1 if len(gram) else 0
             for at in range(0, width, 8192):
                 a, b = np.searchsorted(gram, [at, at + 8192])
-                dense = np.zeros((len(docs), min(8192, width - at)), np.float32)
+                dense = np.zeros((len(nodes), min(8192, width - at)), np.float32)
                 dense[row[a:b], gram[a:b] - at] = 1
                 common += dense @ dense.T
             inter = common.astype(np.int64)
-            linked = den * inter >= num * (n[:, None] + n[None, :] - inter)
-            if side.min() != side.max():
-                linked &= side[:, None] != side[None, :]
-            linked &= inter > 0
+            linked = (den * inter >= num * (n[:, None] + n[None, :] - inter)) & (inter > 0)
             np.fill_diagonal(linked, False)
-            linked &= comp[:, None] != comp[None, :]
             label = forest(linked)
-            moved = np.flatnonzero(label != np.arange(len(docs)))
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(docs[moved]), pa.array(docs[label[moved]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
 
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges within pairs of blocks. pairs: gid, side, doc_id, comp."""
-    rows = pairs.join(sets.select("doc_id", "n", "items"), "doc_id").select("gid", "side", "doc_id", "comp", "n", "items")
-    return cut(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links(num, den), "a long, b long"))
+def _first(members: DataFrame, group: str, size: int) -> DataFrame:
+    """gid and node: the blocks of each group of members (group, node, k), each but the first together with the first, so that a set meets
+    its own block and the first one. This is linear in the group, and most large groups become one component by it."""
+    rows = members.withColumn("blocks", F.ceil(F.col("k") / size).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) WHEN block = 0 THEN sequence(1, blocks - 1) ELSE array(block) END")))
+    return rows.select(F.xxhash64(group, "other").alias("gid"), "node")
+
+
+def _rest(members: DataFrame, joined: DataFrame, group: str, size: int) -> DataFrame | None:
+    """gid and node: in groups of several blocks, what the first round left outside the group's largest component, in blocks with all of the
+    group; None if nothing is left."""
+    large = members.where(F.col("k") > size).join(joined.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    counts = large.groupBy(group, "comp").agg(F.countDistinct("node").alias("k"))
+    core = counts.groupBy(group).agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("comps"), F.sum("k").alias("total")).where("comps > 1")
+    core = cut(core.select(group, F.col("x.comp").alias("core"), F.ceil(F.col("x.k") / size).cast("int").alias("cores"), F.ceil((F.col("total") - F.col("x.k")) / size).cast("int").alias("others")))
+    if core.isEmpty():
+        return None
+    rows = large.join(core, group).withColumn("inner", F.expr("comp = core"))
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), CASE WHEN inner THEN cores ELSE others END) as int)"))
+    # Blocks of others are 0 .. others - 1, those of the core follow. A block of others meets itself, later ones and the core's.
+    rows = rows.withColumn("me", F.expr("CASE WHEN inner THEN others + block ELSE block END"))
+    rows = rows.withColumn("other", F.explode(F.expr("CASE WHEN inner THEN sequence(0, others - 1) ELSE sequence(0, others + cores - 1) END")))
+    return rows.select(F.xxhash64(group, F.least("me", "other"), F.greatest("me", "other"), F.lit(2)).alias("gid"), "node").distinct()
+
+
+def _joined(members: DataFrame, values: DataFrame, group: str, size: int, links) -> DataFrame:
+    """node and component of the nodes that links (a function of sorted rows gid, node and values) joins within groups."""
+
+    def edges(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(values, "node").select("gid", "node", *(c for c in values.columns if c != "node"))
+        return cut(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(links, "a long, b long"))
+
+    joined = connected_components(edges(_first(members, group, size)))
+    if members.where(F.col("k") > size).isEmpty():
+        return joined
+    pairs = _rest(members, joined, group, size)
+    if pairs is None:
+        return joined
+    return connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges(pairs)))
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Of docs (doc_id, text): rows (doc_id, n, node; node is null for an empty text without id), classes (node, class_id, k: the rows that
+    have the set), joined (node and component of each set that is similar to another), and the number of rows."""
+    signed = cut(_signs(docs, n, num, den))
+    total = signed.count()
+    # A class has one size; its rows have the same bits.
+    classes = cut(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("k")))
+    rows = signed.select("doc_id", "n", "node")
+    own = lookup(rows.where("doc_id IS NOT NULL"), classes.select("node", "class_id", "k"), "node", total)
+    copies = cut(own.groupBy("doc_id").agg(F.max(F.expr("doc_id = class_id")).alias("rep")).where("NOT rep").select("doc_id"))
+    reps = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti").select("doc_id", "text")
+
+    keyed = _keys(reps, n, num, den, price_of(total)).repartition("key")
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("k")).where("a <> z").select("key", "k")
+    met = cut(keyed.join(hubs.hint("shuffle_hash"), "key"))
+    clusters = _joined(met, classes.select("node", "n", "bits"), "key", WIDE, _near(num, den)).withColumnRenamed("component", "cluster")
+
+    wanted = clusters.select("node").join(classes.select("node", "class_id"), "node").where("class_id IS NOT NULL").select(F.col("class_id").alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+    sets = cut(_sets(texts, n).join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("k"))
+    joined = _joined(lookup(clusters, sizes, "cluster", total), sets, "cluster", BLOCK, _links(num, den))
+    return rows, classes.select("node", "class_id", "k"), joined, total
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set) and component_id (smallest id reached by links) of each row.
+    """doc_id, n_shingles, component_id (smallest id reached by links) and class_id (smallest id with the same set) of each row.
 
     Sets hold the distinct runs of n words (A-Z lowered, words cut at blanks), as 64-bit hashes; two rows link when
     den * |intersection| >= num * |union|. A text with fewer words is one shingle; null, empty and blank texts have no set, link
-    with nothing and are their own component. Rows with equal sets are one class and are joined once, by the smallest id. Rows that
-    share an id count as one node and each gets its row; a row without id takes its class's component. Columns other than the two
-    named are not read.
+    with nothing and are their own component. Rows with equal sets are one class, which is joined once, whatever their ids. Rows that
+    share an id count as one node with all their sets, and each gets its row. A row without id is a node by its set; it has its class's
+    component, and null ids if no row reached has an id. Columns other than the two named are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(_sets(docs, n, "sign", num, den))
-    classes = signed.where("fp1 IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id"))
-    copies = signed.join(classes, ["fp1", "fp2"]).where("doc_id <> class_id").select("doc_id").distinct()
-    reps = docs.where("doc_id IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+    rows, classes, joined, total = _components(docs, n, num, den)
+    none, whole = F.lit(None).cast("long"), rows.where("node IS NOT NULL")
+    several = cut(whole.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a"))
+    if not several.isEmpty():
+        same = whole.join(several, "doc_id").select("a", F.col("node").alias("b")).distinct()
+        joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same))
+    members = cut(classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    roots = members.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("nodes"))
+    members = cut(lookup(members, roots, "component", total, "nodes").drop("component"))
+    out = lookup(whole, members, "node", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+    return out.union(rows.where("node IS NULL").select("doc_id", "n", none, none))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs without near copies, all columns as they are: of each group of rows linked as in ngram_jaccard_join one stays, that of
+    the smallest id (rows without id come last; of rows with the same id and set, any one).
+
+    Here a row is a document by its text, so rows that share an id but not a set are in no common group for that. Null, empty and blank texts
+    are in no group and stay. Rows are found by their ids, so texts are read again only of ids that several rows share, and of null ids.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, joined, total = _components(texts, n, num, den)
+    members = cut(classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # The first row of a component is of the class with the smallest id.
+    roots = members.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("last"), "class_id", "node")).alias("first"), F.count("*").alias("nodes"))
+    members = cut(lookup(members, roots, "component", total, "nodes").select("node", "class_id", "k", (F.col("first.node") == F.col("node")).alias("first")))
+    marked = lookup(rows.where("n > 0"), members, "node", total).select("doc_id", "node", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
+    ids = cut(marked.union(rows.where("n = 0").select("doc_id", "node", F.lit(True))).groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("k")).where("doc_id IS NULL OR NOT stays OR k > 1"))
+    gone, mixed = ids.where("doc_id IS NOT NULL AND NOT stays").select("doc_id"), ids.where("doc_id IS NULL OR (stays AND k > 1)")
+    small = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x
+    key = F.col(id_col).cast("long")
+    kept = docs.withColumn(KEY, key).join(small(gone.withColumnRenamed("doc_id", KEY)), KEY, "left_anti")
+    if mixed.isEmpty():
+        return kept.select(docs.columns)
+    listed = small(mixed.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(KEY)))
+    alone = kept.where(F.col(KEY).isNotNull()).join(listed, KEY, "left_anti").select(docs.columns)
+    again = _numbered(kept.join(listed, KEY, "left_semi").union(kept.where(F.col(KEY).isNull())), text_col, n)
+    empty = again.where(F.col(NODE).isNull())
+    firsts = marked.where("stays").select(F.col("doc_id").alias(KEY), F.col("node").alias(NODE)).distinct()
+    met = again.alias("r").join(firsts.alias("f"), F.col(f"r.{NODE}").eqNullSafe(F.col(f"f.{NODE}")) & F.col(f"r.{KEY}").eqNullSafe(F.col(f"f.{KEY}")), "left_semi")
+    return alone.union(met.dropDuplicates([KEY, NODE]).select(docs.columns)).union(empty.select(docs.columns))
+
+
+#: Names of columns that are added to a caller's.
+KEY, NODE = "tidemark key", "tidemark node"
+
+
+def _numbered(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """docs with the number of each row's set, null for an empty one."""
 
-    keyed = _sets(reps.select("doc_id", "text"), n, "keys", num, den).repartition("key")
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).where("k > 1")
-    met = cut(keyed.join(hubs.hint("shuffle_hash"), "key"))
-    sketches = signed.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "items").dropDuplicates(["doc_id"])
-    few = met.where(F.col("k") <= SORTED_OUT).select("key", "doc_id").join(sketches, "doc_id").select("key", "doc_id", "n", "items")
-    few = few.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_sort_out(num, den), "a long, b long")
-    many = met.where(F.col("k") > SORTED_OUT).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    clusters = cut(connected_components(few.union(many)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
-
-    sets = cut(_sets(docs.join(clusters.select("doc_id"), "doc_id", "left_semi"), n, "set").dropDuplicates(["doc_id"]))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "cluster").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-    # First each block with itself and with the first one, which is linear; most large clusters become one component here.
-    first = placed.select("doc_id", "cluster", "block", "blocks", F.explode(F.expr("CASE WHEN block = 0 THEN sequence(0, blocks - 1) ELSE array(0, block) END")).alias("other"))
-    first = first.select(
-        F.expr("CASE WHEN block = 0 THEN other WHEN other = 0 THEN block ELSE block + blocks END").alias("pair"), "doc_id", "cluster", F.expr("CASE WHEN block = 0 OR other <> 0 THEN 0 ELSE 1 END").alias("side")
-    )
-    first = first.select(F.xxhash64("cluster", "pair").alias("gid"), "side", "doc_id", F.col("doc_id").alias("comp"))
-    found = _compare(first, sets, num, den)
-    joined = cut(connected_components(found))
-    large = placed.where("blocks > 1").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("comp"))
-    rest = _rest(large, sets, num, den)
-    if rest is not None:
-        again = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)
-        joined = cut(connected_components(again))
-    members = joined.select(F.col("node").alias("class_id"), "component")
-    out = signed.join(classes, ["fp1", "fp2"], "left").join(members, "class_id", "left")
-    own = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "class_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), own.alias("component_id"))
-
-
-def _rest(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Edges between what the first blocks left apart in clusters of several blocks: all outside a cluster's largest component
-    are compared with each other and with that component, in blocks."""
-    counts = large.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
-    core = counts.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("comps"), F.sum("k").alias("total")).where("comps > 1")
-    core = cut(core.select("cluster", F.col("x.comp").alias("core"), F.ceil(F.col("x.k") / BLOCK).cast("int").alias("cores"), F.ceil((F.col("total") - F.col("x.k")) / BLOCK).cast("int").alias("others")))
-    if core.isEmpty():
-        return None
-    rows = large.join(core, "cluster").withColumn("inner", F.expr("comp = core"))
-    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), CASE WHEN inner THEN cores ELSE others END) as int)"))
-    # Blocks of others are 0 .. others - 1, those of the core follow. A block of others meets itself, later ones and the core's.
-    rows = rows.withColumn("me", F.expr("CASE WHEN inner THEN others + block ELSE block END"))
-    rows = rows.withColumn("other", F.explode(F.expr("CASE WHEN inner THEN sequence(0, others - 1) ELSE sequence(0, others + cores - 1) END")))
-    rows = rows.select(F.xxhash64("cluster", F.least("me", "other"), F.greatest("me", "other"), F.lit(2)).alias("gid"), F.expr("CASE WHEN me > other THEN 1 ELSE 0 END").alias("side"), "doc_id", "comp")
-    return _compare(rows, sets, num, den)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(BLANKS)
+        for batch in batches:
+            sets = (set_of(t, n, hasher) for t in batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist())
+            nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, NODE])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(NODE, LongType())]))

@@ -66,4 +66,14 @@ QUERIES = {
     for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_quality_classifier, op4_html_extraction, op5_warc_derivatives, op6_pii, op7_token_counts, op8_language_id, op9_decontamination, op10_embedding_near_dedup)
 }
 
-SQL: dict[str, str] = {}
+#: Words between blanks, their distinct runs of three, pairs by common runs, and what links reach.
+SQL = {
+    "op1_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+      g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+      p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (m + n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+      r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), t AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+      SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(t.b, s.doc_id)) AS component_id,
+      CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY list_sort(s.s)) END AS class_id FROM s LEFT JOIN t ON s.doc_id = t.a""",
+}
