@@ -6,18 +6,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid
 from tidemark.llm.common import cut
-from tidemark.llm.jaccard import ngram_jaccard_join
+from tidemark.llm.jaccard import distinct_documents
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import masked_documents
 from tidemark.llm.tokens import vocabulary
 
-#: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; texts that are null or have no letters go."""
@@ -25,15 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by runs of five words at a similarity of 0.8: that of the smallest id. Of rows that share an id
-    one stays; rows without id stay."""
-    groups = cut(ngram_jaccard_join(docs).select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(side, "doc_id", "left_anti").select(docs.columns)
-    if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    """One row of each group linked by runs of five words at a similarity of 0.8: that of the smallest id. Rows that share an id go or stay
+    each by its own text."""
+    return distinct_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
