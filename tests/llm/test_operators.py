@@ -327,7 +327,21 @@ def test_language(spark, small):
     out = [i for i in known if got[i].held_out and len([r for r in rows if r[0] == i][0][1]) > 100]
     assert sum(got[i].lang_pred == known[i] for i in out) >= 0.95 * len(out)
     assert langid.languages(df, langid.train(frame(spark, []))).where("lang_pred <> 'und'").count() == 0
-    assert langid.keep_known(df, net).count() == len(rows) - 3
+    want = [r[0] for r in rows if got[r[0]].lang_pred != "und" and got[r[0]].score >= 0.5]
+    assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in langid.keep_known(df, net).collect()) and langid.keep_known(df, net, 0.0).count() == len(rows) - 3
+
+
+def test_language_learns_all_languages_and_whole_texts(spark):
+    """Hundreds of languages, one of them told only by the end of long texts, short texts and repeated rows."""
+    names = [chr(0x4E00 + k) for k in range(300)]
+    rows = [(10 * k + j, c * 40, c, 1, "x") for k, c in enumerate(names) for j in range(2)]
+    net = langid.train(frame(spark, rows), sample=600)
+    assert len(net.labels) >= 280 and set(net.labels) <= set(names)
+    assert len(langid.train(frame(spark, rows), sample=40).labels) <= 40
+    rows = [(k, "a " * 3000 + ("bcd " if k % 2 else "efg ") * 3000, "bc" if k % 2 else "ef", 1, "x") for k in range(40)] + [(50, "b", "bc", 1, "x"), (50, "b", "bc", 1, "x")]
+    net = langid.train(frame(spark, rows), sample=20)
+    got = langid.languages(frame(spark, rows), net).collect()
+    assert len(got) == 42 and all(r.lang_pred == ("bc" if r.doc_id % 2 else "ef") for r in got if r.doc_id < 50)
 
 
 def test_network_gradients_and_reader():
@@ -347,12 +361,21 @@ def test_network_gradients_and_reader():
             v[at] = old
             assert grads[k][at] == pytest.approx((up - down) / (2 * step), abs=2e-3)
     net = langid.Network(["a", "b"], seed=2)
-    texts = [bytes(rng.integers(32, 120, n).astype(np.uint8)) for n in (1, 63, 64, 65, 200, 0)]
+    texts = [bytes(rng.integers(32, 120, n).astype(np.uint8)) for n in (1, 63, 255, 256, 257, 280, 281, 600, 1000, 0)]
     got = langid.Reader(net)(texts)
     for t, row in zip(texts, got, strict=True):
-        parts = [t[k : k + 64] for k in range(0, len(t), 64)]
-        want = sum(net.positions(np.frombuffer(p, np.uint8)[None])[:, 0].sum(0) for p in parts) / max(1, len(t)) if parts else np.zeros(2)
-        assert row == pytest.approx(want, abs=1e-5)
+        raw, want = np.frombuffer(t, np.uint8)[None], np.zeros(2)
+        for k in range(0, len(t), langid.SPAN):
+            own = slice(k, k + langid.SPAN)
+            a, z = max(0, k - langid.WARM), min(len(t), k + langid.SPAN + langid.WARM)
+            f = net.states(raw[:, a:z], "f")[k - a : k - a + langid.SPAN, 0]
+            b = net.states(raw[:, k:z], "b")[: langid.SPAN, 0]
+            y = np.exp(np.concatenate([f[: len(t[own])], b[: len(t[own])]], 1) @ net.p["o"] + net.p["c"])
+            want += (y / y.sum(1, keepdims=True)).sum(0)
+        assert row == pytest.approx(want / max(1, len(t)), abs=1e-5)
+        # What a whole reading gives, where the states come from the text's ends.
+        if len(t):
+            assert row == pytest.approx(net.positions(raw)[:, 0].mean(0), abs=1e-3)
 
 
 def smith_waterman(a, b):

@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Every position of a text gets language probabilities from the states of both directions; a document's are their mean. Texts are cut
-into runs of SPAN bytes that are read side by side, each with zero states at both ends.
+Every position of a text gets language probabilities from the states of both directions; a document's are their mean. Runs of a text
+are read side by side, with the bytes around them, so that states go over from run to run.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import least_hashed
+from .common import cut
 from .tokens import parts, two
 
-SPAN = 64
+#: Bytes of a run, bytes that are read around it, and bytes of the rows that are learned.
+SPAN, WARM, LEARNED = 256, 24, 64
 LETTER = regex.compile(r"\p{L}").search
 
 
@@ -73,19 +74,22 @@ class Network:
         grads["c"] = y.sum((0, 1))
         ds = y @ self.p["o"].T
         for k, d in enumerate("fb"):
-            u, dh = self.p["u" + d], np.zeros((len(data), w), np.float32)
+            u, dh, each = self.p["u" + d], np.zeros((len(data), w), np.float32), []
             for t, h, b, g, c in reversed(runs[d][1]):
                 dh = dh + ds[t][:, k * w : (k + 1) * w]
                 r, z = g[:, :w], g[:, w:]
                 dc = dh * z * (1 - c * c)
                 da = np.concatenate([dc * b * r * (1 - r), dh * (c - h) * z * (1 - z), dc], 1)
                 db = np.concatenate([da[:, : 2 * w], dc * r], 1)
-                np.add.at(grads["x" + d], data[:, t], da)
+                each.append((data[:, t], da))
                 grads["u" + d] += h.T @ db
                 dh = dh * (1 - z) + db @ u.T
+            at, da = (np.concatenate(x) for x in zip(*each, strict=True))
+            for j in range(3 * w):
+                grads["x" + d][:, j] = np.bincount(at, da[:, j], 256)
         return float(loss), grads
 
-    def fit(self, data: np.ndarray, target: np.ndarray, rounds: int = 4, batch: int = 128, rate: float = 0.015, seed: int = 3) -> Network:
+    def fit(self, data: np.ndarray, target: np.ndarray, rounds: int = 3, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
         """Adam over shuffled rows."""
         rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
         for _ in range(rounds):
@@ -102,7 +106,10 @@ class Network:
 class Reader:
     """Document probabilities with a trained network: the same sums as Network.positions, in buffers that stay in the cache.
 
-    sigmoid(x) is 0.5 + 0.5 * tanh(x / 2), so one tanh does both gates; the halves are folded into the weights.
+    A text is read in runs of SPAN bytes side by side. Each direction begins WARM bytes before its run (after it, backwards), so that its
+    state at the run's first byte is that of a reading of the whole text but for what it still remembers of more distant bytes; only where
+    a text begins or ends it starts from zero. sigmoid(x) is 0.5 + 0.5 * tanh(x / 2), so one tanh does both gates; the halves are folded
+    into the weights.
     """
 
     ROWS = 1024
@@ -114,16 +121,17 @@ class Reader:
         self.out = {"f": net.p["o"][:w].copy(), "b": net.p["o"][w:].copy()}
         self.bias = net.p["c"]
 
-    def rows(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Sum of position probabilities of each row; a row is padded at its end."""
-        n, steps, w = len(data), data.shape[1], self.w
+    def rows(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Sum of position probabilities of each row over its `own` bytes from place WARM on; its text lies from begin to end (exclusive)."""
+        n, w, span = len(data), self.w, int(own.max())
         turned = np.ascontiguousarray(data.T)
-        logits = np.empty((steps, n, len(self.labels)), np.float32)
+        logits = np.empty((span, n, len(self.labels)), np.float32)
         a, b, h, c = np.empty((n, 3 * w), np.float32), np.empty((n, 3 * w), np.float32), np.zeros((n, w), np.float32), np.empty((n, w), np.float32)
+        late, least, most = int(begin.max()), int(end.min()), int(end.max())
         for d in "fb":
             x, u = self.side[d]
             h[:] = 0
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            for t in range(int(begin.min()), WARM + span) if d == "f" else range(most - 1, WARM - 1, -1):
                 np.take(x, turned[t], axis=0, out=a, mode="clip")
                 np.matmul(h, u, out=b)
                 g = a[:, : 2 * w]
@@ -137,17 +145,20 @@ class Reader:
                 c -= h
                 c *= g[:, w:]
                 h += c
-                if d == "b" and t >= self.least:
-                    h[lengths <= t] = 0  # padding comes first in this direction
-                if d == "f":
-                    np.matmul(h, self.out[d], out=logits[t])
-                else:
-                    logits[t] += h @ self.out[d]
+                if d == "f" and t < late:
+                    h[begin > t] = 0
+                if d == "b" and t >= least:
+                    h[end <= t] = 0
+                if d == "f" and t >= WARM:
+                    np.matmul(h, self.out[d], out=logits[t - WARM])
+                elif d == "b" and t < WARM + span:
+                    logits[t - WARM] += h @ self.out[d]
         logits += self.bias
+        logits -= logits.max(2, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(2, keepdims=True)
-        if self.least < steps:
-            logits[np.arange(steps)[:, None] >= lengths[None, :]] = 0
+        if int(own.min()) < span:
+            logits[np.arange(span)[:, None] >= own[None, :]] = 0
         return logits.sum(0, dtype=np.float64)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
@@ -155,17 +166,19 @@ class Reader:
         sizes = np.array([len(t) for t in texts])
         spans = -(-sizes // SPAN)
         total, owner = int(spans.sum()), np.repeat(np.arange(len(texts)), spans)
-        lengths = np.full(total, SPAN)
-        ends = np.cumsum(spans)[spans > 0] - 1
-        lengths[ends] = (sizes - (spans - 1) * SPAN)[spans > 0]
-        data = np.zeros((total, SPAN), np.uint8)
-        data[np.arange(SPAN)[None, :] < lengths[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
-        order = np.argsort(-lengths, kind="stable")
-        sums = np.zeros((len(texts), len(self.labels)))
+        number = np.arange(total) - np.repeat(np.cumsum(spans) - spans, spans)
+        # Each text is padded by WARM to both sides, so that a run and what is around it are one slice of all texts.
+        pad = b"\0" * (WARM + SPAN)
+        flat = np.frombuffer(pad[:WARM] + b"".join(t + pad for t in texts), np.uint8)
+        start = np.repeat(np.cumsum(sizes + len(pad)) - sizes - len(pad), spans) + number * SPAN
+        left = np.repeat(sizes, spans) - number * SPAN
+        own, begin, end = np.minimum(left, SPAN), np.where(number == 0, WARM, 0), WARM + np.minimum(left, SPAN + WARM)
+        order = np.argsort(-own, kind="stable")
+        sums, wide = np.zeros((len(texts), len(self.labels))), np.arange(SPAN + 2 * WARM)
         for at in range(0, total, self.ROWS):
             some = order[at : at + self.ROWS]
-            self.least = int(lengths[some].min())
-            np.add.at(sums, owner[some], self.rows(data[some], lengths[some]))
+            data = flat[np.minimum(start[some][:, None] + wide, len(flat) - 1)]
+            np.add.at(sums, owner[some], self.rows(data, begin[some], end[some], own[some]))
         return sums / np.maximum(sizes, 1)[:, None]
 
 
@@ -173,26 +186,30 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, width: int = 8) -> Network | None:
-    """A network fitted on `sample` documents at most that have text and language and aren't held out: those of least hash, as many of
-    each language as there are. Of each, one run of 8 * SPAN bytes from a place that the hash gives is learned. None if there are none.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600, width: int = 8) -> Network | None:
+    """A network fitted on the whole texts of `sample` documents at most that have text and language and aren't held out: those of least
+    hash, as many of each language as of the others where there are so many. Each language of the table can be learned while there are no more
+    than `sample`. None if there is nothing to learn. The table is read twice: for the languages' counts, and for the sample.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("raw"))
-    rows = rows.where(~held_out("i") & F.col("i").isNotNull() & F.col("lang").isNotNull() & (F.length("raw") >= 8))
-    known = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
-    if not known:
+    rows = rows.where(~held_out("i") & F.col("i").isNotNull() & F.col("lang").isNotNull() & (F.length("raw") > 0))
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    if not languages:
         return None
-    each = max(8, sample // len(known))
-    start = F.expr(f"cast(1 + pmod(xxhash64(i, 1), greatest(1, length(raw) - {8 * SPAN} + 1)) as int)")
-    rows = rows.select("i", "lang", F.substring("raw", start, F.lit(8 * SPAN)).alias("raw"))
+    each, h = max(1, sample // languages), F.xxhash64("i")
+    # Twice as many as are wanted are expected below the bound, so what is sorted doesn't grow with the table.
+    below = (h.cast("double") + 2.0**63) * F.col("n") < (2 * each + 1000) * 2.0**64
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i", "raw"))
+    chosen = rows.withColumn("h", h).join(counts, "lang").where((F.col("n") <= 8 * each) | below).withColumn("rank", rank).where(F.col("rank") <= each)
+    chosen = chosen.orderBy("rank", "h", "i", "raw").limit(sample).select("lang", "raw").collect()
+    labels = sorted({r[0] for r in chosen})
     data, target = [], []
-    for k, lang in enumerate(sorted(known)):
-        for r in least_hashed(rows.where(F.col("lang") == lang), each, "i", total=known[lang]).select("raw").collect():
-            raw = bytes(r[0])
-            for at in range(0, max(1, len(raw) - SPAN + 1), SPAN):
-                data.append(raw[at : at + SPAN].ljust(SPAN, b" "))
-                target.append(k)
-    return Network(sorted(known), width).fit(np.frombuffer(b"".join(data), np.uint8).reshape(-1, SPAN), np.array(target))
+    for lang, raw in sorted((r[0], bytes(r[1])) for r in chosen):
+        for at in range(0, len(raw), LEARNED):
+            data.append((raw[at : at + LEARNED] if at + LEARNED <= len(raw) else raw[-LEARNED:]).ljust(LEARNED, b" "))
+            target.append(labels.index(lang))
+    return Network(labels, width).fit(np.frombuffer(b"".join(data), np.uint8).reshape(-1, LEARNED), np.array(target))
 
 
 def languages(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,8 +244,9 @@ def predict(reader: Reader | None, texts: list[str]) -> tuple[list[str], list[fl
     return lang, score
 
 
-def keep_known(docs: DataFrame, network: Network | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language (not `und`) with a score of at least `least`, all columns as they are."""
+def keep_known(docs: DataFrame, network: Network | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language (not `und`) with a score of at least `least`, all columns as they are. At a half, the language is
+    likelier than all others together: texts of no learned language, or of several without one that prevails, go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = network and Reader(network)
