@@ -7,14 +7,17 @@ import numpy as np
 
 import corpus_pipeline
 from test_operators import jaccard_brute
-from tidemark.llm import pii, tokens
+from tidemark.llm import langid, pii, tokens
 
 
 def test_pipeline(spark, small):
     from tokenizers import Tokenizer
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    kept = {i: t for i, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
+    net, kept = langid.train(spark.read.parquet(f"{small}/documents.parquet")), {}
+    for i, t in docs.items():
+        if t and re.search(r"[^\W\d_]", t) and net.positions(np.frombuffer(t.encode(), np.uint8)[None])[:, 0].mean(0).max() >= 0.5:
+            kept[i] = t
     root = jaccard_brute(list(kept.items()), 5, 80, 100)
     kept = {i: t for i, t in kept.items() if root[i][1] == i}
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
