@@ -16,7 +16,7 @@ from tidemark.llm.tokens import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; texts that are null or have no letters go."""
+    """Documents in one of the learned languages, by a score of a half at least; texts that are null or have no letters go."""
     return langid.keep_known(docs, langid.train(docs))
 
 
