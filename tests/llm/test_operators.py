@@ -439,6 +439,30 @@ def test_decontamination_of_frequent_edited_copies(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()} == set(range(1000, 1010))
 
 
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_decontamination_against_all_alignments(spark, least):
+    """The query's pairs and scores are those of aligning each text with each item, for items of all lengths and all degrees of edit."""
+    rng, words = random.Random(6), [f"v{k}" for k in range(60)]
+    items = [[rng.choice(words) for _ in range(m)] for m in (1, 3, 5, 7, 8, 9, 12, 14, 15, 20, 33, 40)]
+    rows = []
+    for k in range(240):
+        own, share = items[k % 12], (k // 12) / 20
+        edited = []
+        for w in own:
+            r = rng.random()
+            edited += [w] if r >= share else [] if r < share / 3 else [rng.choice(words)] if r < 2 * share / 3 else [w, rng.choice(words)]
+        rows.append((k, " ".join([rng.choice(words) for _ in range(rng.randrange(30))] + edited + [rng.choice(words) for _ in range(rng.randrange(30))]), None, None, None))
+    want = {}
+    for i, t, *_ in rows:
+        for j, item in enumerate(items):
+            score = smith_waterman(item, t.split())
+            if score >= max(least * 2 * len(item), 2 * min(len(item), 7)):
+                want[i, j] = score / (2 * len(item))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(frame(spark, rows), bench, least=least).collect()}
+    assert got == want and {j for _, j in want} == set(range(12))
+
+
 def test_embeddings(spark, small):
     rng = np.random.default_rng(5)
     rows = [(r.vec_id, [float(x) for x in r.embedding], 0) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
@@ -611,6 +635,46 @@ def test_quality(spark, small):
     assert quality.rate(df, empty).count() == 1804
 
 
+def test_ordinal_gradient():
+    """The derivatives of the likelihood by differences, probabilities that sum to one, and thresholds in order."""
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        theta = quality.ordered(rng.standard_normal(), rng.standard_normal(3))
+        assert (np.diff(theta) > 0).all()
+        score = rng.standard_normal() * 3
+        assert sum(np.exp(-quality.likelihood(score, k, theta)[0]) for k in range(5)) == pytest.approx(1)
+        for grade in range(5):
+            loss, by_score, by_theta = quality.likelihood(score, grade, theta)
+            cdf = [0, *(1 / (1 + np.exp(score - theta))), 1]
+            assert loss == pytest.approx(-np.log(cdf[grade + 1] - cdf[grade]))
+            d = lambda s, t: (quality.likelihood(score + s, grade, theta + t)[0] - quality.likelihood(score - s, grade, theta - t)[0]) / 2e-6  # noqa: B023, E731
+            assert by_score == pytest.approx(d(1e-6, 0), abs=1e-5)
+            assert by_theta == pytest.approx([d(0, 1e-6 * np.eye(4)[k]) for k in range(4)], abs=1e-4)
+    assert abs(quality.likelihood(500.0, 0, np.array([0.0, 1.0]))[2]).max() < 10
+
+
+def test_quality_query(spark, small):
+    """Grades, rating by brute force, selection; a long text, repeated rated ids, and an empty table."""
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 2), (0, 0, 1), (0, 1, 0), (None, 1, 0), (1, None, None), (None, 0, None), (0, None, None)], "quality int, toxic int, want int")
+    assert all(r.g == r.want for r in labels.select(quality.grade_of().alias("g"), "want").collect())
+    docs, rated = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.train(docs, rated.select("doc_id", quality.grade_of().alias("grade")))
+    features, weight = quality.Features(), dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    want = {}
+    for r in docs.collect():
+        score = sum(weight.get(int(f), 0.0) for f in features(r.text or ""))
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        want[r.doc_id] = (sum(tails), tails[-1])
+    got = {r.doc_id: (r.expected_grade, r.tail) for r in quality.rate(docs, model).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    assert {r.doc_id for r in queries.op3_quality_classifier(spark, small).collect()} == {i for i, (_, tail) in want.items() if tail >= 0.5}
+    grades = {r.doc_id: r.g for r in rated.select("doc_id", quality.grade_of().alias("g")).collect()}
+    assert np.mean([want[i][0] for i, g in grades.items() if g == 2 and i in want]) > np.mean([want[i][0] for i, g in grades.items() if g == 0 and i in want])
+    many = frame(spark, [(1, f"good words {k}", None, None, None) for k in range(50)] + [(2, "bad " * 100_000, None, None, None)])
+    model = quality.train(many, spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, grade int"), sample=2)
+    assert quality.rate(many, model).count() == 51 and quality.rate(frame(spark, []), quality.train(frame(spark, []), rated.select("doc_id", quality.grade_of().alias("grade")))).count() == 0
+
+
 def test_contract_of_held_out(spark):
     """crc32 of the id as text, as DuckDB has no crc32: held against Python."""
     got = spark.range(50).select("id", langid.held_out("id").alias("h")).collect()

@@ -14,8 +14,10 @@ from .common import WordHasher, shingles
 from .tokens import parts, two
 
 #: Bytes of item text that are held at once; a larger benchmark is taken in blocks.
-HELD = 16 << 20
+HELD = 8 << 20
 MATCH, MISS, GAP = 2, -1, -1
+#: Words whose points an alignment needs at least, or all that an item has: fewer are common to texts that have nothing to do with it.
+EVIDENCE = 7
 #: ASCII characters other than letters and digits part words.
 APART = [c for c in range(128) if not chr(c).isalnum()]
 
@@ -59,7 +61,7 @@ class Seeds:
         self.starts = np.cumsum(m) - m
         #: Score in points that counts, words of an item that it takes, and words that it takes without a whole n-gram:
         #: of M matches then (M - 1) // (n - 1) points at least are lost.
-        self.points = np.where(m >= 8, np.ceil(least * MATCH * m - 1e-9), MATCH * m).astype(np.int64)
+        self.points = np.maximum(np.ceil(least * MATCH * m - 1e-9), MATCH * np.minimum(m, EVIDENCE)).astype(np.int64)
         self.least = -(-self.points // MATCH)
         some = np.arange(1, (int(m.max()) if split else 0) + 2)
         bare = np.maximum.accumulate(MATCH * some - (some - 1) // max(1, n - 1))
@@ -113,7 +115,7 @@ class Seeds:
 
     def hits(self, text: str) -> list[tuple[int, float, int]]:
         """Item id, score and number of seeds of each item that a text holds. The score is that of the alignment divided by the item's
-        own; an item of under 8 words must be whole."""
+        own."""
         words = self.split(text)
         code, at = self.find_words(words)
         if not len(code):
@@ -179,7 +181,8 @@ def count_seeds(texts: DataFrame, seeds: Seeds) -> Seeds:
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", held: int = HELD) -> DataFrame:
     """doc_id, item_id, score and n_seeds for each item that a row's text holds, whole or edited.
 
-    Words are runs of letters, digits and non-ASCII characters, lower-cased. Null and empty texts hold nothing; null, empty and wordless
+    Words are runs of letters, digits and non-ASCII characters, lower-cased. An alignment counts if it has `least` of the item's own score
+    and EVIDENCE words' worth of points (all that the item has, if it has fewer words). Null and empty texts hold nothing; null, empty and wordless
     items are in nothing; equal rows of the benchmark count once. Repeated rows and null ids of docs are judged each by itself. Columns
     other than those named are not read.
     """
