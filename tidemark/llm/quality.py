@@ -3,6 +3,7 @@ and ordered thresholds between grades. P(grade > k) = sigmoid(score - threshold
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,29 +62,57 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -50, 50)))
 
 
+def ordered(start: float, steps: np.ndarray) -> np.ndarray:
+    """Thresholds: the first one, and each next one exp(step) above the one before, so that any parameters give an order."""
+    return start + np.concatenate(([0.0], np.cumsum(np.exp(steps))))
+
+
+def likelihood(score: float, grade: int, theta: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Negative log-likelihood of a grade, and its derivatives by the score and the thresholds.
+
+    P(grade = k) = F(k) - F(k - 1) with F(k) = sigmoid(theta[k] - score); F is 0 before the first and 1 after the last threshold. Only the
+    two thresholds around the grade count. The derivative by the score is P(> k) + P(> k - 1) - 1.
+    """
+    sigmoid = lambda x: 0.5 + 0.5 * math.tanh(x / 2)
+    high = theta[grade] - score if grade < len(theta) else math.inf
+    low = theta[grade - 1] - score if grade else -math.inf
+    over, under, slope = (0.0 if grade == len(theta) else sigmoid(-high)), (sigmoid(low) if grade else 0.0), np.zeros(len(theta))
+    # F(high) - F(low) = sigmoid(high) * sigmoid(-low) * (1 - exp(low - high)), without a difference of nearly equal numbers.
+    apart = -math.expm1(low - high) if grade and grade < len(theta) else 1.0
+    if grade < len(theta):
+        slope[grade] = -over / max(1e-12, (1 - under) * apart)
+    if grade:
+        slope[grade - 1] = under / max(1e-12, (1 - over) * apart)
+    softplus = lambda x: max(x, 0.0) + math.log1p(math.exp(-abs(x)))
+    loss = (softplus(-high) if grade < len(theta) else 0.0) + (softplus(low) if grade else 0.0) - math.log(max(1e-300, apart))
+    return loss, over - under, slope
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, rounds: int = 8, rate: float = 0.2, l1: float = 5e-3, common: int = 5, seed: int = 11) -> Ordinal:
-    """Stochastic gradients with a rate for each weight (AdaGrad) and soft thresholding. Each threshold is one of logistic regressions
-    that share the weights; thresholds are sorted after each step, so they stay ordered. Features of fewer than `common` rows get no weight,
-    since they tell one text rather than a kind of text."""
+    """Maximum likelihood of the cumulative-link model by stochastic gradients with a rate for each parameter (AdaGrad) and soft thresholding
+    of the weights. Features of fewer than `common` rows get no weight, since they tell one text rather than a kind of text."""
     used = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= common if rows else np.zeros(1 << BITS, bool)
     rows = [x[used[x]] for x in rows]
-    cuts = grade_count - 1
-    w, g2, theta, t2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), np.linspace(-1, 1, cuts) if cuts > 1 else np.zeros(cuts), np.full(cuts, 1.0)
-    rng, above = np.random.default_rng(seed), np.arange(cuts)
+    w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
+    start, steps, p2 = -0.5 * (grade_count - 2), np.zeros(max(0, grade_count - 2)), np.ones(grade_count - 1)
+    rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for k in rng.permutation(len(rows)):
             x = rows[k]
-            scale = 1 / np.sqrt(max(1, len(x)))
-            error = 1 / (1 + np.exp(np.clip(theta - w[x].sum(), -50, 50))) - (grades[k] > above)
-            g = error.sum() * scale
+            _, by_score, by_theta = likelihood(float(w[x].sum()), int(grades[k]), ordered(start, steps))
+            g = by_score / math.sqrt(max(1, len(x)))
             g2[x] += g * g
             step = rate / np.sqrt(g2[x])
             new = w[x] - step * g
             w[x] = np.sign(new) * np.maximum(0, np.abs(new) - step * l1)
-            t2 += error * error
-            theta = np.sort(theta + rate * error / np.sqrt(t2))
+            # A step moves all thresholds from its own on.
+            after = np.cumsum(by_theta[::-1])[::-1]
+            by = np.concatenate((after[:1], np.exp(steps) * after[1:]))
+            p2 += by * by
+            move = rate * by / np.sqrt(p2)
+            start, steps = start - move[0], np.clip(steps - move[1:], -6, 6)
     some = np.flatnonzero(w)
-    return Ordinal(some, w[some], theta)
+    return Ordinal(some, w[some], ordered(start, steps))
 
 
 def grade_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -93,7 +122,8 @@ def grade_of(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """Fit on `sample` rated documents at most, those of least hash. ratings: doc_id and grade (0 to grades - 1); of several ratings of
-    a document the least counts, and null ids and grades don't. Without any, all thresholds are even and all weights zero."""
+    a document the least counts, and null ids and grades don't; of several rows with a rated id the least text is learned. Without any, all
+    thresholds are even and all weights zero."""
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = least_hashed(rated, sample, "doc_id")
 
@@ -103,7 +133,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 80
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).astype(np.int32) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "grade", "x"])
 
     # The sample is bounded by its parameter, and so is what is broadcast.
-    found = two(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, x array<int>")
+    found = two(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).mapInArrow(run, "doc_id long, grade int, x array<int>")
     rows = sorted(((r.doc_id, r.grade, np.array(r.x, np.int64)) for r in found.toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tolist()))
     return fit([x for _, _, x in rows], np.array([g for _, g, _ in rows]), grades)
 
