@@ -9,6 +9,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, hamming, html, jaccard, langid, packing, pii, quality, queries, tokens, warc
 from tidemark.llm.common import BLANKS, WordHasher, connected_components
@@ -572,6 +573,35 @@ def test_html_boilerplate_over_half_and_near_copies(spark):
     assert [got[20 + k] for k in range(4)] == [story, story, story, "Another page."]
 
 
+def test_html_whatever_the_partitions(spark):
+    """Pages of one host, a hot and a small one, ties and nulls: the same texts in any number of ranges, those of one task by brute force."""
+    rng = random.Random(12)
+    menus = [[f"Menu {m} entry {k}" for k in range(6)] for m in range(3)]
+    rows = []
+    for k in range(700):
+        own = [f"Sentence {rng.randrange(40)} of a story." for _ in range(rng.randrange(1, 6))]
+        url = f"http://hot.org/f{k % 9}/{k}" if k < 600 else f"http://s{k % 13}.org/{k}" if k < 690 else "http://tie.org/" if k < 697 else None
+        rows.append((k, url, "".join(f"<div>{x}</div>" for x in [*menus[k % 3], *own, "Imprint"])))
+    rows += [rows[3], rows[3], (3, rows[3][1], "<p>other</p>")]
+    host, key = html.order(F.col("url"), F.col("page_id"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = defaultdict(list)
+    for r in df.select("page_id", "url", "html", host.alias("h"), key.alias("k"), F.xxhash64("html").alias("x")).orderBy("k", "x").collect():
+        by[r.h].append((r.page_id, html.lines(r.html)))
+    want = []
+    for own in by.values():
+        for k, (i, page) in enumerate(own):
+            near = [own[j][1] for d in range(1, html.REACH + 1) for j in (k - d, k + d) if 0 <= j < len(own)]
+            want.append((i, html.main_text(page, near)))
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 4, 11, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert sorted((r.page_id, r.text) for r in html.extract(df.repartition(n)).collect()) == sorted(want)
+    spark.conf.set("spark.sql.shuffle.partitions", keep)
+    plain = [" ".join(t for _, t in html.lines(r[2])) for r in rows]
+    assert sum(t not in plain for _, t in want) > 600
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(300):

@@ -37,7 +37,7 @@ def least_hashed(rows: DataFrame, k: int, *keys: str, total: int | None = None)
     """The k rows of least hash of their keys. Of many rows only those below a hash that twice as many are expected under are sorted, so
     that what meets in one task doesn't grow with the number of partitions; keys that repeat may make it fewer than k."""
     total = rows.count() if total is None else total
-    if total > 8 * k:
+    if total > 8 * k + 4000:
         rows = rows.where(F.xxhash64(*keys) < F.lit(int(-(1 << 63) + (2 * k + 1000) / total * (1 << 64))))
     return rows.orderBy(F.xxhash64(*keys), *keys).limit(k)
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 
 import html as references
 import re
-import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural_key
+from .common import least_hashed
+
 #: Elements whose text is no content, elements that aren't the article, elements that end a line, elements without end.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "canvas", "object", "math", "xmp")
 ASIDE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "label", "option"}
@@ -35,6 +36,8 @@ PARTS = re.compile(r"[a-z]+")
 PLAIN, ARTICLE, OFF = 0, 1, 2
 #: Pages before and after a page that it may be compared with, those of them that are, and those that make a line of an article boilerplate.
 REACH, NEAR, SEVERAL = 8, 8, 3
+#: Keys that ranges are laid by at most.
+SAMPLED = 1_000_000
 
 
 def mark(name: str, attributes: str, inside: bool) -> int:
@@ -209,47 +212,44 @@ def main_text(page: list[tuple[int, str]], near: list[list[tuple[int, str]]]) ->
     return " ".join(t for t, g in zip(rest, gone, strict=True) if not g)
 
 
-def place(url: str | None) -> tuple[str, str]:
-    """Host, and a key that puts URLs of one folder side by side and numbers in their order."""
-    try:
-        parts = urlsplit(url or "")
-        host = (parts.hostname or "").lower()
-    except ValueError:
-        return "", url or ""
-    path = re.sub(r"\d+", lambda m: f"{len(m[0].lstrip('0')):03d}{m[0].lstrip('0')}" if len(m[0]) < 999 else m[0], parts.path)
-    return host, f"{path}?{parts.query}"
-
-
-def _pack(rows: list[tuple[int, str]]) -> bytes:
-    return zlib.compress("\n".join(f"{s}{t}" for s, t in rows).encode("utf-8", "surrogatepass"), 1)
-
-
-def _unpack(data: bytes) -> list[tuple[int, str]]:
-    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
-    return [(int(x[0]), x[1:]) for x in text.split("\n")] if text else []
+def order(url: Column, page_id: Column) -> tuple[Column, Column]:
+    """Host, and a key that puts the pages of a host together, those of one folder side by side, numbers in their order, and ties by id."""
+    host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    rest = F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^#]*)", 1), F.lit(""))
+    return host, F.concat_ws("\x00", host, natural_key(rest), F.coalesce(F.lpad(page_id.cast("string"), 20, "0"), F.lit("")))
+
+
+def neighbours(edges: list[tuple[int, bool, int, str]], ranges: int) -> dict[str, set[int]]:
+    """To which ranges the pages at the ends of others go, so that each range has the REACH pages before and after it. edges: range, whether
+    from its end, place from there and key."""
+    first, last, out = [[] for _ in range(ranges)], [[] for _ in range(ranges)], {}
+    for k, end, _, key in sorted(edges):
+        (last if end else first)[k].append(key)
+    for k in range(ranges):
+        for side, step in ((last, -1), (first, 1)):
+            left, at = REACH, k + step
+            while left > 0 and 0 <= at < ranges:
+                for key in side[at][:left]:
+                    out.setdefault(key, set()).add(k)
+                left, at = left - len(side[at]), at + step
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of each row.
 
-    Null and empty pages have an empty text. Pages are sorted by host and path in ranges, so that a host of any size is spread over
-    tasks; each is compared with those of up to REACH pages before and after it in its host and range that aren't its copies, NEAR at most,
-    a lone one with none. Pages without URL or host form one host. Ties of URL go by id. Repeated rows each give a row. Columns other than the three named are not
-    read. What is shuffled is each page's lines, compressed.
+    Null and empty pages have an empty text. Pages are put in order by host, path and id, in ranges whose borders come from a bounded
+    sample of URLs, so that a host of any size is spread over tasks; the pages at the ends of a range are given to the ranges beside it too.
+    So each page is compared with the REACH pages before and after it in its host that aren't its copies, NEAR at most, a lone one with none,
+    wherever borders lie. Pages without URL or host form one host. Ties of URL go by id, then by content. Repeated rows each give a row.
+    Columns other than the three named are not read. A page is shuffled once and parsed once, but for those at the ends of ranges.
     """
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                spots = [place(u) for u in part.column(1).to_pylist()]
-                packed = [_pack(lines(t or "")) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h for h, _ in spots]), pa.array([p for _, p in spots]), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "path", "packed"])
-
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "packed")), strict=True)
+                for at in range(0, batch.num_rows, 200):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True)
 
         def batch_of(some: list[tuple]) -> pa.RecordBatch:
             ids, urls, texts = zip(*some, strict=True)
@@ -260,27 +260,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             window: deque = deque()
             at = 0
 
-            def told() -> tuple:
-                i, u, _, page = window[at]
+            def told() -> list[tuple]:
+                i, u, own, _, page = window[at]
+                if not own:
+                    return []
                 # By distance, the page before a page first.
                 order = [at + d * side for d in range(1, REACH + 1) for side in (-1, 1)]
-                return i, u, main_text(page, [window[k][3] for k in order if 0 <= k < len(window)])
+                return [(i, u, main_text(page, [window[k][4] for k in order if 0 <= k < len(window)]))]
 
-            for i, u, host, packed in rows():
-                if window and window[-1][2] != host:
+            for i, u, own, group, page in rows():
+                if window and window[-1][3] != group:
                     for at in range(at, len(window)):
-                        yield told()
+                        yield from told()
                     window.clear()
                     at = 0
-                window.append((i, u, host, _unpack(packed)))
+                window.append((i, u, own, group, lines(page or "")))
                 if len(window) > at + REACH:
-                    yield told()
+                    yield from told()
                     at += 1
                     if at > REACH:
                         window.popleft()
                         at -= 1
             for at in range(at, len(window)):
-                yield told()
+                yield from told()
 
         done: list[tuple] = []
         for row in texts():
@@ -291,6 +293,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if done:
             yield batch_of(done)
 
+    spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.mapInArrow(read, "page_id long, url string, host string, path string, packed binary")
-    return rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    host, key = order(F.col("url"), F.col("page_id"))
+    rows = rows.withColumns({"host": host, "key": key})
+    total = rows.count()
+    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 64 + 1)
+    # As many keys as a range partitioner takes; the edges are 2 * REACH keys a range.
+    sample = sorted({r[0] for r in least_hashed(rows.select("key"), min(SAMPLED, 60 * ranges), "key", total=total).collect()})
+    borders = [sample[len(sample) * k // ranges] for k in range(1, ranges) if len(sample)]
+    rows = rows.withColumn("range", F.size(F.filter(F.lit(borders), lambda b: b <= F.col("key"))) if borders else F.lit(0))
+    ends = []
+    for end, by in ((False, F.col("key")), (True, F.desc("key"))):
+        place = F.row_number().over(Window.partitionBy("range").orderBy(by))
+        ends.append(rows.select("range", F.lit(end).alias("end"), place.alias("place"), "key").where(F.col("place") <= REACH))
+    extra = [(k, sorted(v)) for k, v in neighbours([tuple(r) for r in ends[0].union(ends[1]).collect()], ranges).items()] if ranges > 1 else []
+    to = F.array(F.struct("range", F.lit(True).alias("own")))
+    if extra:
+        rows = rows.join(F.broadcast(spark.createDataFrame(extra, "key string, ranges array<int>")), "key", "left")
+        to = F.concat(to, F.coalesce(F.transform("ranges", lambda r: F.struct(r.alias("range"), F.lit(False).alias("own"))), F.array().cast("array<struct<range:int,own:boolean>>")))
+    rows = rows.withColumn("to", F.explode(to)).select("page_id", "url", "to.own", "host", "html", "key", F.col("to.range").alias("range"))
+    rows = rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("key", F.xxhash64("html")).select("page_id", "url", "own", "host", "html")
+    return rows.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
