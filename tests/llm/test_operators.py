@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and the library they stand for, with nulls, empty and repeated rows."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -616,28 +617,78 @@ def test_shared_lines_are_a_longest_common_subsequence():
 
 
 def test_warc_round_trip(spark, small):
-    pages = spark.createDataFrame([(1, "http://a.org/", "<title>t</title><p>Hé &amp; you</p><p>two"), (2, None, None), (1, "http://a.org/", "<p>again")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a.org/", "<title>t</title><p>Hé &amp; you</p><p>two", "x"), (2, None, None, "x"), (1, "http://a.org/", "<p>again", "x"), (None, "http://n.org/", "<p>" + "long " * 100_000, "x")], "page_id long, url string, html string, record string")
     records = warc.responses(pages)
     out = warc.derivatives(records).collect()
-    assert len(out) == 6
+    assert len(out) == 8
     source = {r.source_id: next(warc.parse(bytes(r.record))) for r in records.collect() if r.source_id == 2}
     for r in out:
         (named, block), = warc.parse(bytes(r.record))
-        assert named["warc-type"] == r.record_type and named["warc-refers-to"] == r.refers_to and len(block) == r.content_length
-        assert named["warc-block-digest"] == r.block_digest == warc.digest(block)
+        assert warc.first(named, "warc-type") == r.record_type and warc.first(named, "warc-refers-to") == r.refers_to and len(block) == r.content_length
+        assert warc.first(named, "warc-block-digest") == r.block_digest == warc.digest(block)
         if r.source_id == 2:
-            assert r.refers_to == source[2][0]["warc-record-id"] and r.payload_digest == source[2][0]["warc-payload-digest"]
+            assert r.refers_to == warc.first(source[2][0], "warc-record-id") and r.payload_digest == warc.first(source[2][0], "warc-payload-digest")
         if r.record_type == "metadata":
-            told = warc.fields(block)
+            told = dict(warc.fields(block))
             assert told["http-content-type"] == "text/html; charset=utf-8" and told["payload-digest-valid"] == "true" and told["http-status"] == "HTTP/1.1 200 OK"
-    assert "Hé & you\ntwo".encode() in [next(warc.parse(bytes(r.record)))[1] for r in out if r.record_type == "conversion"]
+    texts = [next(warc.parse(bytes(r.record)))[1] for r in out if r.record_type == "conversion"]
+    assert "Hé & you\ntwo".encode() in texts and ("long " * 100_000).strip().encode() in texts
     several = b"".join(bytes(r.record) for r in records.collect())
-    zipped = b"".join(bytes(r.record) for r in warc.compressed(records).collect())
-    assert len(list(warc.parse(several))) == len(list(warc.parse(zipped))) == 3
+    zipped = b"".join(bytes(r.content) for r in warc.archives(records).orderBy("name").collect())
+    assert list(warc.parse(several)) == list(warc.parse(zipped)) == list(warc.parse([zipped[k : k + 7] for k in range(0, len(zipped), 7)])) and len(list(warc.parse(several))) == 4
+    again = warc.derivatives(warc.records_of(warc.archives(records, size=1), id_field=warc.PAGE)).collect()
+    key = lambda r: (r.source_id is None, r.source_id or 0, r.record_type, bytes(r.record))
+    assert sorted(again, key=key) == sorted(out, key=key)
     odd = spark.createDataFrame([(1, None), (2, b""), (3, b"junk"), (4, warc.record([("WARC-Type", "request")], b"GET /")), (5, warc.record([("WARC-Type", "response"), ("WARC-Payload-Digest", "sha1:WRONG")], b"no http"))], "source_id long, record binary")
     got = warc.derivatives(odd).collect()
     assert {r.source_id for r in got} == {5} and {r.payload_digest for r in got} == {"sha1:WRONG"}
     assert b"payload-digest-valid: false" in b"".join(bytes(r.record) for r in got)
+    assert warc.derivatives(odd.limit(0)).count() == warc.archives(records.limit(0)).count() == 0
+    files = queries.op5_warc_derivatives(spark, small).collect()
+    direct = warc.derivatives(warc.responses(spark.read.parquet(f"{small}/pages.parquet"))).collect()
+    assert sorted((r.page_id, r.record_type, r.record_sha256) for r in files) == sorted((r.source_id, r.record_type, hashlib.sha256(bytes(r.record)).hexdigest()) for r in direct)
+
+
+def test_warc_hand_made_records(spark, tmp_path):
+    """Repeated and folded headers, codings of bodies, records without a length, junk between records, members that part a record."""
+    html_page = "<p>Grüße</p><p>two</p>".encode("latin-1")
+    chunked = b"5;x=y\r\n<p>on\r\n9\r\ne</p><p>t\r\n2\r\nwo\r\n0\r\n\r\n"
+
+    def made(number, http, body, **more):
+        block = b"HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http).encode() + b"\r\n" + body
+        return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{number}>"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>"), *more.items()], block)
+
+    latin = ("Content-Type", "text/html; charset=latin-1")
+    data = [
+        made(0, [latin, ("Set-Cookie", "a=1"), ("Set-Cookie", "b=2"), ("X-Long", "one\r\n  two")], html_page),
+        made(1, [latin, ("Content-Encoding", "gzip")], gzip.compress(html_page)),
+        made(2, [("Content-Type", "text/html"), ("Transfer-Encoding", "chunked")], chunked, **{"WARC-Payload-Digest": warc.digest(b"<p>one</p><p>two")}),
+        made(3, [latin, ("Content-Encoding", "deflate")], zlib.compress(html_page)),
+        made(4, [latin, ("Content-Encoding", "deflate")], zlib.compress(html_page)[2:-4]),
+        made(5, [latin, ("Content-Encoding", "br")], b"\x01\x02"),
+        made(6, [latin, ("Content-Encoding", "gzip")], html_page),
+        made(7, [("Content-Type", "image/png")], b"\x89PNG"),
+        b"junk between\r\n",
+        b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:8>\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nno length\r\n\r\n",
+        made(9, [("Content-Type", "text/plain")], b"last"),
+    ]
+    plain = b"".join(data)
+    (tmp_path / "a.warc").write_bytes(plain)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(plain[k : k + 501]) for k in range(0, len(plain), 501)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
+    for name in ("a.warc", "b.warc.gz", "c.warc.gz"):
+        records = warc.read_warc(spark, str(tmp_path / name))
+        out = warc.derivatives(records).collect()
+        text = {r.refers_to: next(warc.parse(bytes(r.record)))[1].decode() for r in out if r.record_type == "conversion"}
+        told = {r.refers_to: warc.fields(next(warc.parse(bytes(r.record)))[1]) for r in out if r.record_type == "metadata"}
+        assert text == {"<urn:0>": "Grüße\ntwo", "<urn:1>": "Grüße\ntwo", "<urn:2>": "one\ntwo", "<urn:3>": "Grüße\ntwo", "<urn:4>": "Grüße\ntwo", "<urn:5>": "", "<urn:6>": "Grüße\ntwo", "<urn:7>": "", "<urn:8>": "no length", "<urn:9>": "last"}
+        assert [v for k, v in told["<urn:0>"] if k == "http-set-cookie"] == ["a=1", "b=2"] and ("http-x-long", "one two") in told["<urn:0>"]
+        assert ("payload-digest-valid", "true") in told["<urn:2>"] and ("content-coding", "unknown") in told["<urn:5>"]
+        for r in out:
+            if r.refers_to != "<urn:8>":
+                assert [v for k, v in next(warc.parse(bytes(r.record)))[0] if k == "WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+        assert records.select("source_id").distinct().count() == 10
+        assert [n for n, _ in next(warc.parse(bytes(records.first().record)))[0]][:3] == ["WARC-Type", "WARC-Record-ID", "WARC-Concurrent-To"]
 
 
 def test_quality(spark, small):
