@@ -489,15 +489,26 @@ def test_embeddings(spark, small):
     assert hamming.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_repeated_and_null_ids(spark):
+    """Rows that share an id are one node with all their vectors; rows without id count by their vector."""
+    rng = np.random.default_rng(3)
+    a, b, c = rng.standard_normal((3, 16)).tolist()
+    near = lambda v: (np.array(v) * 2 + 0.01).tolist()
+    rows = [(1, a), (None, a), (1, b), (5, near(b)), (7, c), (None, near(c)), (None, None), (9, None), (None, rng.standard_normal(16).tolist())]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in hamming.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([("1", 1, "1", True), ("None", 1, "1", False), ("1", 1, "1", True), ("5", 1, "1", False), ("7", 1, "7", True), ("None", 1, "7", False), ("None", 0, "None", False), ("9", 0, "9", True), ("None", 0, "None", False)])
+
+
 def test_embeddings_blocks(spark):
     """Buckets of several blocks count each pair once."""
     rng = np.random.default_rng(6)
     x = np.ones(16) + rng.standard_normal((300, 16)) * 0.05
-    keep, hamming.BLOCK = hamming.BLOCK, 40
-    try:
+    keep = hamming.BLOCK, hamming.WIDE
+    found = []
+    for hamming.BLOCK, hamming.WIDE in ((40, 90), (40, 4000), keep):
         got = {r.vec_id: r for r in hamming.links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
-    finally:
-        hamming.BLOCK = keep
+        found.append({k: r.n_links for k, r in got.items()})
+    assert found[0] == found[1] == found[2]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.95).sum(1) - 1
     assert all(got[k].n_links <= near[k] for k in got) and sum(r.n_links for r in got.values()) >= 0.9 * near.sum()
