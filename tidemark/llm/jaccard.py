@@ -359,8 +359,8 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     met = cut(keyed.join(hubs.hint("shuffle_hash"), "key"))
     clusters = _joined(met, classes.select("node", "n", "bits"), "key", WIDE, _near(num, den)).withColumnRenamed("component", "cluster")
 
-    wanted = clusters.select("node").join(classes.select("node", "class_id"), "node").where("class_id IS NOT NULL").select(F.col("class_id").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+    wanted = cut(clusters.select("node").join(classes.select("node", "class_id"), "node").where("class_id IS NOT NULL").select(F.col("class_id").alias("doc_id")).distinct())
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
     sets = cut(_sets(texts, n).join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("k"))
     joined = _joined(lookup(clusters, sizes, "cluster", total), sets, "cluster", BLOCK, _links(num, den))
