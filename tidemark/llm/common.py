@@ -26,8 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch: whole texts of 10 000 rows, the default, are held several times over by each of an executor's tasks.
+ROWS = 1000
+
+
+def calm(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it asks for still smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that lost executors cost no recomputation of what is above."""
+    calm(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
-from .common import least_hashed
+from .common import calm, least_hashed
 
 #: Elements whose text is no content, elements that aren't the article, elements that end a line, elements without end.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "canvas", "object", "math", "xmp")
@@ -294,6 +294,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield batch_of(done)
 
     spark = pages.sparkSession
+    calm(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host, key = order(F.col("url"), F.col("page_id"))
     rows = rows.withColumns({"host": host, "key": key})

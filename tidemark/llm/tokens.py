@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import calm
+
 #: Pre-tokens kept in a worker's dictionary (counts and ids); beyond that it starts anew. Longer ones aren't kept.
 KEPT_COUNTS, KEPT_IDS, LONG = 600_000, 300_000, 64
 #: Fixed value: the pre-token pattern of the byte-level vocabulary, as its file's pre-tokenizer applies it.
@@ -131,6 +133,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
 
 def two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    calm(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

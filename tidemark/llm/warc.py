@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import calm
 from .html import lines
 
 END = b"\r\n"
@@ -264,6 +265,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 made = [response(i, u or "", p or "") for i, u, p in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["source_id", "record"])
 
+    calm(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("p"))
     return rows.mapInArrow(run, "source_id long, record binary")
 
