@@ -36,9 +36,9 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as responses in files of gzip members, which are read for the records that are derived from."""
+    """Pages as responses in files of gzip members, which are read again for what is derived."""
     files = warc.archives(warc.responses(_read(spark, sf_dir, "pages")))
-    made = warc.derivatives(warc.records_of(files, id_field=warc.PAGE))
+    made = warc.derivatives(files, None, "content", warc.PAGE)
     return made.withColumn("record_sha256", F.sha2("record", 256)).withColumnRenamed("source_id", "page_id").drop("record")
 
 

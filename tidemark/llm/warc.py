@@ -24,6 +24,7 @@ DATE = "2024-01-01T00:00:00Z"
 PAGE = "X-Page-ID"
 #: Bytes that are decompressed at once.
 MEMBER = 1 << 20
+NUMBER = re.compile(r"-?\d{1,18}")
 
 
 def digest(data: bytes) -> str:
@@ -99,7 +100,9 @@ def parse(data: bytes | Iterable[bytes]) -> Iterator[tuple[Fields, bytes]]:
                 del held[: max(0, len(held) - 4)]
                 break
             line = held.find(b"\n", at)
-            stop = min((x + k for s, k in ((b"\r\n\r\n", 4), (b"\n\n", 2)) if (x := held.find(s, at)) >= 0), default=-1)
+            stop = held.find(b"\r\n\r\n", at)
+            bare = held.find(b"\n\n", at, stop if stop >= 0 else len(held))
+            stop = bare + 2 if bare >= 0 else stop + 4 if stop >= 0 else -1
             if line < 0 or stop < 0:
                 del held[:at]
                 break
@@ -225,8 +228,9 @@ def derive(named: Fields, block: bytes) -> list[tuple[Fields, bytes, bytes]]:
 SCHEMA = "source_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, content_length long, record binary"
 
 
-def derivatives(records: DataFrame, id_col: str = "source_id", record_col: str = "record") -> DataFrame:
-    """The metadata and conversion record of each response among `records` (binary, one or more WARC records each, plain or gzip).
+def derivatives(records: DataFrame, id_col: str | None = "source_id", record_col: str = "record", id_field: str | None = None) -> DataFrame:
+    """The metadata and conversion record of each response among `records` (binary, one or more WARC records each, plain or gzip; so whole
+    files will do). source_id is the column's, or else the number in the record's field id_field, null where it has none.
 
     Null, empty and broken records and those of other types give nothing. Repeated rows give their derivatives again. Columns other than
     the two named are not read. Nothing is shuffled.
@@ -238,16 +242,20 @@ def derivatives(records: DataFrame, id_col: str = "source_id", record_col: str =
             rows, size = [], 0
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for named, block in parse(data or b""):
+                    if id_field:
+                        own = first(named, id_field.lower())
+                        i = int(own) if NUMBER.fullmatch(own) else None
                     for h, body, whole in derive(named, block):
                         rows.append((i, *(first(h, k) or None for k in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-payload-digest", "warc-block-digest")), len(body), whole))
                         size += len(whole)
-                if size > 8_000_000:
-                    yield _batch(rows, names)
-                    rows, size = [], 0
+                    if size > 8_000_000:
+                        yield _batch(rows, names)
+                        rows, size = [], 0
             if rows:
                 yield _batch(rows, names)
 
-    return records.select(F.col(id_col).cast("long").alias("source_id"), F.col(record_col).alias("record")).mapInArrow(run, SCHEMA)
+    own = F.col(id_col) if id_col else F.lit(None)
+    return records.select(own.cast("long").alias("source_id"), F.col(record_col).alias("record")).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -299,7 +307,7 @@ def records_of(files: DataFrame, name_col: str = "name", content_col: str = "con
                 name, data, ids, made, size = batch.column(0)[row].as_py(), batch.column(1)[row], [], [], 0
                 for k, (named, block) in enumerate(parse(_chunks(data))):
                     own = first(named, id_field.lower()) if id_field else ""
-                    ids.append(int(own) if re.fullmatch(r"-?\d{1,18}", own) else None if id_field and not own else _place(name, k))
+                    ids.append(int(own) if NUMBER.fullmatch(own) else None if id_field and not own else _place(name, k))
                     made.append(record([(n, v) for n, v in named if n.lower() != "content-length"], block))
                     size += len(made[-1])
                     if size > 8_000_000:
