@@ -92,7 +92,7 @@ def parse(data: bytes | Iterable[bytes]) -> Iterator[tuple[Fields, bytes]]:
     after a blank line. A block that ends early is given as far as it goes.
     """
     held = bytearray()
-    for chunk in _then_none(unzipped([data] if isinstance(data, bytes) else data)):
+    for chunk in _then_none(unzipped(_chunks(pa.scalar(data, pa.binary())) if isinstance(data, bytes) else data)):
         held += chunk or b""
         while True:
             at = held.find(b"WARC/")
@@ -319,7 +319,8 @@ def records_of(files: DataFrame, name_col: str = "name", content_col: str = "con
     return files.select(F.col(name_col).cast("string"), content_col).mapInArrow(run, "source_id long, record binary")
 
 
-def _chunks(data: pa.Scalar, size: int = 1 << 20) -> Iterator[bytes]:
+def _chunks(data: pa.Scalar, size: int = 1 << 15) -> Iterator[bytes]:
+    """The bytes in small pieces: what follows a gzip member in its piece is copied."""
     raw = data.as_buffer()
     for at in range(0, raw.size if raw is not None else 0, size):
         yield raw.slice(at, min(size, raw.size - at)).to_pybytes()
