@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tidemark.functions import python_text
 from tidemark.operators import cues, intervals, sampling, state
 
 SCHEMA = "video_id string, ord long, time double, text string, confidence double, lines array<struct<text:string,confidence:double,box:struct<x:double,y:double,width:double,height:double>,spacing_inferred:boolean,edge_filtered:boolean>>, ocr_time double"
@@ -72,21 +73,75 @@ def test_edge_filtered_flag(spark):
 
 
 def model(rows, a, b, i):
-    """The whole computation for one video as a plain loop over observations; repair is that of the engine on its runs."""
+    """The whole computation for one video by rewriting a list of runs, each the list of its observations (start, end, text, confidence)."""
+    text_of = python_text.normalize
     rows = sorted((r for r in rows if a <= r[0] < b), key=lambda r: r[0])
-    made = []
+    obs = []
     for k, (t, text, conf) in enumerate(rows):
         prev, nxt = (rows[k - 1][0] if k else None), (rows[k + 1][0] if k + 1 < len(rows) else None)
         gap = prev is not None and t - prev > 2.5 * i
         start = max(a, (prev + t) / 2 if prev is not None and not gap else t - i / 2)
         end = min(b, b if nxt is None else t + i / 2 if nxt - t > 2.5 * i else (t + nxt) / 2)
-        d = max(0.0, end - start)
-        run = cues.Run(start, end, text, conf * d, d, 1, {text: [max(0.1, conf) * d, conf, t, None]}, False)
-        if made and not gap and cues.same(made[-1].text, text):
-            made[-1] = made[-1].merge(run)
+        obs.append((start, end, text, conf, gap))
+
+    def text(run):
+        weight = {}
+        for x in run:
+            weight[x[2]] = weight.get(x[2], 0) + max(0.1, x[3]) * max(0.0, x[1] - x[0])
+        best = max(round(w, 9) for w in weight.values())
+        return next(t for t, w in weight.items() if round(w, 9) == best)
+
+    length = lambda run: sum(max(0.0, x[1] - x[0]) for x in run)
+    equal = lambda x, y: text_of(text(x)) == text_of(text(y)) and text(x).count("\n") == text(y).count("\n")
+    meets = lambda x, y: x[-1][1] == y[0][0]
+
+    def part(x, y):
+        x, y = text_of(text(x)), text_of(text(y))
+        rest = iter(y)
+        return 3 <= len(x) < len(y) and len(x) >= 0.6 * len(y) and len(y) - len(x) <= max(2, len(y) // 4) and all(c in rest for c in x)
+
+    def alike(x, y):
+        p, q = text_of(text(x)), text_of(text(y))
+        d = {(j, 0): j for j in range(len(p) + 1)} | {(0, j): j for j in range(len(q) + 1)}
+        for j in range(1, len(p) + 1):
+            for k in range(1, len(q) + 1):
+                d[j, k] = min(d[j - 1, k] + 1, d[j, k - 1] + 1, d[j - 1, k - 1] + (p[j - 1] != q[k - 1]))
+        return part(x, y) or part(y, x) or (not p and not q) or (p and q and 1 - d[len(p), len(q)] / max(len(p), len(q)) >= 0.8)
+
+    runs = []
+    for x in obs:
+        if runs and not x[4] and equal(runs[-1], [x]):
+            runs[-1].append(x)
+        else:
+            runs.append([x])
+    k = 1
+    while k < len(runs) - 1:
+        x, y, z = runs[k - 1 : k + 2]
+        if meets(x, y) and meets(y, z) and text(y) and text(x) and length(y) <= 180 and equal(x, z) and alike(x, y):
+            runs[k - 1 : k + 2] = [x + y + z]
+        else:
+            k += 1
+    k = 0
+    while k < len(runs):
+        x, y, z = runs[k - 1] if k else None, runs[k], runs[k + 1] if k + 1 < len(runs) else None
+        if x and text(x) and text(y) and meets(x, y) and (equal(x, y) or (length(y) <= 180 and part(y, x))):
+            runs[k - 1 : k + 1] = [x + y]
+        elif z and text(y) and text(z) and meets(y, z) and length(y) <= 180 and part(y, z):
+            runs[k : k + 2] = [y + z]
+            if x and text(x) and meets(x, y + z) and equal(x, y + z):
+                runs[k - 1 : k + 1] = [x + y + z]
+            else:
+                k += 1
         else:
-            made.append(run)
-    return [(int(r.start + 0.5), int(r.end + 0.5), r.text, round(r.sums / r.duration, 6) if r.duration else None) for r in cues.repair(made) if r.text and r.end > r.start]
+            k += 1
+    k = 1
+    while k < len(runs):
+        if meets(runs[k - 1], runs[k]) and equal(runs[k - 1], runs[k]):
+            runs[k - 1 : k + 1] = [runs[k - 1] + runs[k]]
+        else:
+            k += 1
+    out = [(r[0][0], r[-1][1], text(r), sum(x[3] * max(0.0, x[1] - x[0]) for x in r), length(r)) for r in runs]
+    return [(int(x + 0.5), int(y + 0.5), t, round(c / d, 6) if d else None) for x, y, t, c, d in out if t and y > x]
 
 
 def test_random_scans_match_sequential_model(spark):
@@ -101,13 +156,20 @@ def test_random_scans_match_sequential_model(spark):
         want[str(v)] = model(own, 100.0, t + 100, 250.0) if v % 2 else model(own, 0.0, 6000.0, 250.0)
     df = spark.createDataFrame(rows, SCHEMA)
     got = {}
-    for v in range(1, 120, 2):
-        pass
     for c in cues.build_cues(df.where("video_id % 2 = 0"), 0.0, 6000.0, 250.0).orderBy("start").collect():
         got.setdefault(c.video_id, []).append((c.start, c.end, c.text, round(c.confidence, 6)))
     assert got == {k: v for k, v in want.items() if int(k) % 2 == 0 and v}
 
 
+def test_confident_lines(spark):
+    """Unsure and empty lines go; a frame without a sure line is blank, and so parts repeats."""
+    box = lambda x, y: (x, y, 0.1, 0.1)
+    line = lambda t, c, x=0.1, y=0.1: (t, c, box(x, y), False, False)
+    rows = [("v", 0, 0.0, "x", 0.5, [line("b", 0.9, 0.5), line("a", 0.75), line("zz", 0.74), line("", 0.99)], None), ("v", 1, 250.0, "x", 0.5, [line("a b", 0.7)], None), ("v", 2, 500.0, "x", 0.5, None, None)]
+    got = cues.keep_confident(spark.createDataFrame(rows, SCHEMA)).orderBy("ord").collect()
+    assert [(r.text, round(r.confidence, 3), len(r.lines)) for r in got] == [("a b", 0.825, 2), ("", 0.0, 0), ("", 0.0, 0)]
+
+
 def test_sampling_windows_golden(spark):
     frames = spark.createDataFrame([("v", k, k * 40.0) for k in range(20)], "video_id string, ord long, time double")
     windows = spark.createDataFrame([(0, 13.0, 174.0, 50.0), (1, 217.0, 378.0, 50.0), (2, 417.0, 618.0, 50.0)], "range_id int, start double, end double, interval double")

@@ -140,7 +140,8 @@ def export_stem(name: Column | str) -> Column:
         lambda a, c: F.struct(F.when(a["full"] | (F.octet_length(a["text"]) + F.octet_length(c) > 180), a["text"]).otherwise(F.concat(a["text"], c)).alias("text"), (a["full"] | (F.octet_length(a["text"]) + F.octet_length(c) > 180)).alias("full")),
     )["text"]
     short = F.when(F.octet_length(stem) > 180, grown).otherwise(stem)
-    return F.regexp_replace(short, tail, "")
+    short = F.regexp_replace(short, tail, "")
+    return F.when(short == "", F.lit("episode")).otherwise(short)
 
 
 def supported_video(name: Column | str) -> Column:

@@ -14,9 +14,11 @@ from pyspark.sql.types import BinaryType
 
 from .. import schema as s
 from ..functions import kernels
+from ..functions import geometry as g
 from ..functions import text as t
 from ..functions import time as ti
 from ..operators import cues, intervals, jobs, sampling, state
+from ..sources import project as project_files
 from ..sources import sinks
 
 HOURS_6 = 21_600_000.0
@@ -362,13 +364,141 @@ def zip_plan(spark, sf_dir):
     return sinks.zip_plan(p).select("name", F.col("bytes").cast("long").alias("bytes"), "fits")
 
 
+def _items(spark, sf_dir):
+    """Line items, one for each order and line: some numbers occur more than once."""
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_tax")))
+
+
+def _regions(spark, sf_dir):
+    """Line items as regions: prices and quantities as fractions of a frame."""
+    li = read(spark, sf_dir, "lineitem")
+    w, h = F.col("l_quantity") / 100 + 0.05, F.col("l_linenumber") / 20 + 0.02
+    x, y = F.col("l_partkey") % 40 / 100, F.col("l_suppkey") % 30 / 50
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_discount", g.region(x, y, w, h).alias("r"), ((F.col("l_orderkey") % 41 - 20) / 50).alias("dx"), ((F.col("l_partkey") % 31 - 15) / 40).alias("dy"))
+
+
+def _flat(df, **regions):
+    return df.select("l_orderkey", "l_linenumber", *(F.round(r[c], 6).alias(f"{n}_{c}") for n, r in regions.items() for c in ("x", "y", "width", "height")))
+
+
+def region_moves(spark, sf_dir):
+    """Moved, resized at two corners, resized from the middle."""
+    df, r, dx, dy = _regions(spark, sf_dir), F.col("r"), F.col("dx"), F.col("dy")
+    return _flat(df, moved=g.move_region(r, dx, dy, 0.02), se=g.resize_region(r, "se", dx, dy, 0.04, 0.02), nw=g.resize_region(r, "nw", dx, dy, 0.04, 0.02), mid=g.resize_from_center(r, dx, dy, 0.04, 0.02))
+
+
+def region_sizes(spark, sf_dir):
+    """Pixels of regions, inputs of the models, saved regions, whether they are large enough."""
+    w, h = F.col("l_orderkey") % 1900 + 20, F.col("l_partkey") % 1000 + 10
+    df = _regions(spark, sf_dir)
+    crop, det, small, kept = g.crop_rectangle(F.col("r"), w, h), g.detector_size(w, h), g.reduced_size(w, h), g.saved_region(F.col("r"))
+    return df.select("l_orderkey", "l_linenumber", *(crop[c].alias(f"crop_{c}") for c in ("x", "y", "width", "height")), *(x[c].alias(f"{n}_{c}") for n, x in (("det", det), ("small", small)) for c in ("width", "height")), F.round(kept["width"], 6).alias("kept_width"), g.large_enough(F.col("r"), w, h, F.col("dx")).alias("large"))
+
+
+def line_boxes(spark, sf_dir):
+    """Boxes of lines in a crop, as fractions of the frame."""
+    box = g.region(F.col("l_tax"), F.col("l_discount"), F.lit(0.5), F.lit(0.25))
+    lines = F.array(F.struct(F.lit("t").alias("text"), box.alias("box")))
+    return _flat(_regions(spark, sf_dir).withColumn("b", g.to_frame(lines, F.col("r"))[0]["box"]), b=F.col("b"))
+
+
+def pointer_modes(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    bit = lambda k: F.floor(F.col("event_id") / k) % 2 == 1
+    return e.select("event_id", g.pointer_mode(F.col("event_id") % 3, bit(3), bit(6), bit(12), bit(24)).alias("mode"))
+
+
+def row_neighbours(spark, sf_dir):
+    """Line items of an order as boxes on rows, with what is cut out of the frame for the recogniser."""
+    boxes = _items(spark, sf_dir).select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("box_id"), (F.col("l_partkey") % 20 / 25).alias("x"), (F.col("l_linenumber") % 2 / 2 + F.col("l_tax") / 10).alias("y"), (F.col("l_quantity") / 400 + 0.01).alias("width"), F.lit(0.05).alias("height"), F.lit(2.5).alias("aspect"))
+    return intervals.neighbours_on_row(boxes).select("frame_id", "box_id", F.round("crop_x", 6).alias("crop_x"), F.round("crop_width", 6).alias("crop_width"), F.col("content_width").cast("long").alias("content_width"), F.col("input_width").cast("long").alias("input_width"))
+
+
+def item_times(spark, sf_dir):
+    """Presentation times, what is read of an item, and how long its timeline is."""
+    li = read(spark, sf_dir, "lineitem")
+    span = ti.batch_range(F.col("l_extendedprice"), F.col("l_quantity") * 100 - 200, F.col("l_partkey") % 3000)
+    return li.select("l_orderkey", "l_linenumber", F.round(ti.presentation_ms("l_partkey", "l_quantity", -40.0), 6).alias("pts"), F.round(ti.microseconds_to_ms("l_suppkey"), 6).alias("ms"), span["start"].alias("start"), span["end"].alias("end"), F.round(ti.timeline_duration(F.col("l_quantity") - 25, F.col("l_linenumber") - 3), 6).alias("length"))
+
+
+def item_states(spark, sf_dir):
+    """Status of items after a run, after another try of the high ones, and whether they run then."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    rows = o.select("o_orderkey", jobs.item_status(F.when(k % 3 == 0, "e"), k % 5 == 0, k % 2 == 0).alias("status"), (k % 7 / 7).alias("progress"), (k % 4 == 0).alias("selected"), "o_orderpriority")
+    again = jobs.retry(rows.withColumn("before", F.col("status")), F.col("o_orderpriority").startswith("1"))
+    label = t.status_label("status", F.col("o_orderpriority"), F.when(F.col("before") == "failed", "e"), F.lit(""))
+    return again.select("o_orderkey", "before", "status", F.round("progress", 6).alias("progress"), (F.col("selected") & (F.col("status") == "waiting")).alias("runs"), label.alias("label"))
+
+
+def review_totals(spark, sf_dir):
+    cues_ = raw_cues(spark, sf_dir)
+    return jobs.review_counts(cues_, "text")
+
+
+def counter_totals(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.create_map(F.col("event_type"), F.col("event_id") % 10, F.lit("all"), F.lit(1).cast("long")).alias("counts"))
+    return jobs.counter_totals(e, "user_id")
+
+
+def queue_additions(spark, sf_dir):
+    """Pages arriving in a queue that has every seventh of them, twice each third."""
+    p = read(spark, sf_dir, "pages")
+    key = lambda: F.sha2(F.col("page_id").cast("string"), 256)
+    have = p.where("page_id % 7 = 0").select(key().alias("key"))
+    name = F.concat(F.lit("Ep "), (F.col("page_id") % 50).cast("string"), F.when(F.col("page_id") % 5 == 0, ".txt").otherwise(".MP4"))
+    once = p.select(key().alias("key"), name.alias("name"), name.alias("path"), F.col("page_id").alias("arrival"))
+    twice = once.where("arrival % 3 = 0").withColumn("arrival", F.col("arrival") + 10_000_000)
+    return jobs.add_items(have, once.union(twice)).select("arrival", "outcome", F.col("place").cast("long").alias("place"))
+
+
+def import_cases(spark, sf_dir):
+    """Line items as project files that break one rule or none."""
+    li = _items(spark, sf_dir).select(F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("video_id"), (F.col("l_partkey") % 12).alias("c"), F.col("l_quantity").alias("q"))
+    c, num = F.col("c"), lambda x: F.col("q") * x
+    cue = lambda a, b, text: F.struct(F.lit("1").alias("id"), a.alias("start"), b.alias("end"), text.alias("text"), F.when(c != 2, 0.9).alias("confidence"), a.alias("sampleTime"))
+    project = F.struct(
+        F.when(c == 1, 2).otherwise(1).alias("schemaVersion"),
+        F.lit("ms").alias("timeUnit"),
+        F.struct(F.lit("v.mp4").alias("name"), num(1000.0).alias("duration"), F.lit(100.0).alias("width"), F.lit(50.0).alias("height")).alias("source"),
+        F.struct(
+            F.struct(F.when(c == 8, 0.8).otherwise(0.1).alias("x"), F.lit(0.1).alias("y"), F.lit(0.5).alias("width"), F.lit(0.2).alias("height")).alias("region"),
+            F.lit(0.0).alias("start"), F.when(c == 9, 0.0).otherwise(num(1000.0)).alias("end"), F.lit(250.0).alias("sampleInterval"), F.when(c == 6, "true").alias("ignoreClippedText"),
+            F.when(c == 7, F.struct(F.lit("#fff").alias("color"), F.lit(3).alias("tolerance"), F.lit(True).alias("outline"))).alias("colorFilter"),
+        ).alias("extraction"),
+        F.array(cue(F.lit(0.0), F.when(c == 3, 0.0).otherwise(num(10.0)), F.when(c == 4, " ").otherwise("one")), cue(F.when(c == 5, 1.0).otherwise(num(10.0)), num(20.0), F.lit("two"))).alias("cues"),
+    )
+    raw = F.when(c == 0, "[1]").when(c == 11, "{").otherwise(F.to_json(project))
+    return project_files.import_projects(li.select("video_id", raw.alias("raw"))).select("video_id", "error", F.size("project.cues").alias("cues"))
+
+
+def word_lists(spark, sf_dir):
+    """Conversations as dictionary files: their turns as lines."""
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", project_files.dictionary(F.regexp_replace("text", " ", "\n")).alias("w"))
+    return d.select("doc_id", F.size("w").alias("words"))
+
+
+def scan_ends(spark, sf_dir):
+    """Up to where scans that were stopped have been seen, with the colours of their videos."""
+    return state.partial_end(observations(spark, sf_dir).where("ord % 2 = 0"), 0.0, END, HOURS_6).select("video_id", F.round("processed_end", 4).alias("processed_end"), t.hex_color(F.col("video_id") % 256, F.col("video_id") % 200, F.col("video_id") % 100).alias("color"))
+
+
+def confident_lines(spark, sf_dir):
+    """Turns of a conversation as lines, two to a row, those that are sure."""
+    c = read(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    box = F.struct(F.col("turn").cast("double").alias("x"), (F.floor(F.col("turn") / 2) * 10.0).alias("y"), F.lit(1.0).alias("width"), F.lit(8.0).alias("height"))
+    obs = c.groupBy("conv_id").agg(F.collect_list(F.struct("text", (F.length("text") % 10 / 10).alias("confidence"), box.alias("box"))).alias("lines"))
+    return cues.keep_confident(obs, 0.5).select("conv_id", "text", F.round("confidence", 6).alias("confidence"), F.size("lines").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(frame_extents, runs_pass1, run_votes, raw_cues, cues_full, sample_tumbling, sample_windows, refine_windows, refine_anti, asof_start, decode_groups, reorder_margin, validate_intervals),
         *(timeline_lookup_last, timeline_lookup_first, seek_band, format_time, parse_time, text_key, pair_similarity, partial_reads, related_reads, srt_blocks, vtt_blocks, srt_files, export_names, available_names),
         *(dedupe_docs, natural_sort, stage_metrics, queue_totals, effective_settings, pair_batches, cue_search, color_parse, preview_targets, ctc_decode, box_components, box_merge, color_mask, line_assembly),
-        *(gate_state, reuse_state, crop_queue, model_cache, zip_plan),
+        *(gate_state, reuse_state, crop_queue, model_cache, zip_plan, region_moves, region_sizes, line_boxes, pointer_modes, row_neighbours, item_times, item_states, review_totals, counter_totals),
+        *(queue_additions, import_cases, word_lists, scan_ends, confident_lines),
     )
 }
 
@@ -466,3 +596,81 @@ SQL = {
     "model_cache": "SELECT * FROM (VALUES (0::BIGINT, 'ready'), (1::BIGINT, 'upgrade'), (2::BIGINT, 'empty')) t(k, state)",
     "zip_plan": "SELECT page_id::VARCHAR AS name, (22 + sum(strlen(html) + 2 * strlen(page_id::VARCHAR) + 76) OVER (ORDER BY page_id::VARCHAR))::BIGINT AS bytes, 22 + sum(strlen(html) + 2 * strlen(page_id::VARCHAR) + 76) OVER (ORDER BY page_id::VARCHAR) <= 100663296 AS fits FROM pages",
 }
+
+_ITEMS = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2)"
+#: Regions of line items; halves are rounded upwards by floor(x + 0.5).
+_REGION = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_tax, l_discount, l_partkey % 40 / 100 AS x, l_suppkey % 30 / 50 AS y, l_quantity / 100 + 0.05::DOUBLE AS w, l_linenumber / 20 + 0.02::DOUBLE AS h,
+  (l_orderkey % 41 - 20) / 50 AS dx, (l_partkey % 31 - 15) / 40 AS dy, l_orderkey % 1900 + 20 AS fw, l_partkey % 1000 + 10 AS fh FROM lineitem)"""
+
+
+def _moved(at: str, size: str, d: str) -> str:
+    to = f"least(1 - {size}, greatest(0::DOUBLE, {at} + {d}))"
+    return f"round(CASE WHEN abs({to} + {size} / 2 - 0.5) <= 0.02::DOUBLE THEN 0.5 - {size} / 2 ELSE {to} END, 6)"
+
+
+def _middle(at: str, size: str, d: str, least: str) -> tuple[str, str]:
+    limit = f"(2 * least({at} + {size} / 2, 1 - ({at} + {size} / 2)))"
+    new = f"least({limit}, greatest(least({least}::DOUBLE, {limit}), {size} + 2 * {d}))"
+    return f"round({at} + {size} / 2 - {new} / 2, 6)", f"round({new}, 6)"
+
+
+_AXES = (("x", "w", "dx", "0.04", "x", "width"), ("y", "h", "dy", "0.02", "y", "height"))
+_MOVES = ", ".join(
+    f"{_moved(at, size, d)} AS moved_{n}, round({size}, 6) AS moved_{m}, round({at}, 6) AS se_{n}, round(least(1::DOUBLE, greatest({at} + {least}::DOUBLE, {at} + {size} + {d})) - {at}, 6) AS se_{m}, "
+    f"round(least({at} + {size} - {least}::DOUBLE, greatest(0::DOUBLE, {at} + {d})), 6) AS nw_{n}, round({at} + {size} - least({at} + {size} - {least}::DOUBLE, greatest(0::DOUBLE, {at} + {d})), 6) AS nw_{m}, "
+    f"{_middle(at, size, d, least)[0]} AS mid_{n}, {_middle(at, size, d, least)[1]} AS mid_{m}"
+    for at, size, d, least, n, m in _AXES
+)
+_SIDE = "greatest(32, floor({0} * least(1::DOUBLE, 1536 / greatest(fw, fh)) / 32 + 0.5) * 32)::INT"
+_SMALL = "greatest(1, floor({0} * least(1::DOUBLE, 1024 / fw, 256 / fh) + 0.5))::INT"
+_LINES = "l AS (SELECT conv_id, turn, text, length(text) % 10 / 10 AS c FROM conversations WHERE text IS NOT NULL{0}), rows AS (SELECT conv_id, turn // 2 AS y, string_agg(text, ' ' ORDER BY turn) AS row, sum(c * length(text)) AS c, sum(length(text)) AS n, count(*) AS k FROM l GROUP BY 1, 2)"
+SQL |= {
+    # Times of these tables are hours apart and runs never short enough to be repaired, so cues are those of the runs.
+    "cues_full": SQL["raw_cues"],
+    "region_moves": f"WITH {_REGION} SELECT l_orderkey, l_linenumber, {_MOVES} FROM r",
+    "region_sizes": f"""WITH {_REGION}, c AS (SELECT *, floor(x * fw + 0.5) AS cx, floor(y * fh + 0.5) AS cy FROM r)
+      SELECT l_orderkey, l_linenumber, cx::INT AS crop_x, cy::INT AS crop_y, greatest(1, least(fw - cx, floor(w * fw + 0.5)))::INT AS crop_width, greatest(1, least(fh - cy, floor(h * fh + 0.5)))::INT AS crop_height,
+      {_SIDE.format("fw")} AS det_width, {_SIDE.format("fh")} AS det_height, {_SMALL.format("fw")} AS small_width, {_SMALL.format("fh")} AS small_height,
+      round(CASE WHEN x + w <= 1 + 1e-9 AND y + h <= 1 + 1e-9 THEN least(w, 1 - x) END, 6) AS kept_width, dx >= 0 AND w * fw >= 16 AND h * fh >= 8 AS large FROM c""",
+    "line_boxes": f"WITH {_REGION} SELECT l_orderkey, l_linenumber, round(x + l_tax * w, 6) AS b_x, round(y + l_discount * h, 6) AS b_y, round(0.5 * w, 6) AS b_width, round(0.25 * h, 6) AS b_height FROM r",
+    "pointer_modes": """WITH b AS (SELECT event_id, event_id % 3 AS button, event_id // 3 % 2 = 1 AS ctrl, event_id // 6 % 2 = 1 AS meta, event_id // 12 % 2 = 1 AS sel, event_id // 24 % 2 = 1 AS corner FROM events)
+      SELECT event_id, CASE WHEN button <> 0 AND NOT (button = 2 AND ctrl) THEN NULL WHEN sel THEN 'select' WHEN ctrl OR meta THEN 'center' WHEN corner THEN 'resize' ELSE 'move' END AS mode FROM b""",
+    "row_neighbours": """WITH b AS (SELECT l_orderkey AS f, l_linenumber AS i, l_partkey % 20 / 25 AS x, l_linenumber % 2 / 2 + l_tax / 10 AS y, l_quantity / 400 + 0.01::DOUBLE AS w, 0.05::DOUBLE AS h FROM """ + _ITEMS + """),
+      m AS (SELECT a.f, a.i, any_value(a.x) AS x, any_value(a.w) AS w, any_value(a.h) AS h, max(CASE WHEN b.x + b.w <= a.x THEN (b.x + b.w + a.x) / 2 END) AS lo, min(CASE WHEN b.x >= a.x + a.w THEN (a.x + a.w + b.x) / 2 END) AS hi
+        FROM b a LEFT JOIN b ON a.f = b.f AND a.i <> b.i AND abs((a.y + a.h / 2) - (b.y + b.h / 2)) <= least(a.h, b.h) / 2 GROUP BY 1, 2),
+      c AS (SELECT *, greatest(0::DOUBLE, coalesce(lo, 0), x - 0.35::DOUBLE * h / 2.5) AS x0, least(1::DOUBLE, coalesce(hi, 1), x + w + 0.35::DOUBLE * h / 2.5) AS x1 FROM m),
+      s AS (SELECT *, least(2048, greatest(8, ceil(48 * ((x1 - x0) * 2.5 / h)))) AS cw FROM c)
+      SELECT f AS frame_id, i AS box_id, round(x0, 6) AS crop_x, round(x1 - x0, 6) AS crop_width, cw::BIGINT AS content_width, greatest(320, ceil(cw / 32) * 32)::BIGINT AS input_width FROM s""",
+    "item_times": """WITH b AS (SELECT *, l_quantity * 100 - 200 AS a, (l_partkey % 3000)::DOUBLE AS z, floor(l_extendedprice + 0.5) AS d FROM lineitem), c AS (SELECT *, a >= 0 AND d - z > a AS good FROM b)
+      SELECT l_orderkey, l_linenumber, round(l_partkey / l_quantity * 1000 - 40, 6) AS pts, round(l_suppkey / 1000, 6) AS ms, CASE WHEN good THEN a END AS "start", CASE WHEN good THEN d - z END AS "end",
+      round(CASE WHEN l_quantity > 25 THEN l_quantity - 25 WHEN l_linenumber > 3 THEN (l_linenumber - 3) * 1000::DOUBLE ELSE 1 END, 6) AS length FROM c""",
+    "item_states": """WITH b AS (SELECT o_orderkey, o_orderpriority AS p, o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'partial' WHEN o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderkey % 2 = 0 THEN 'completed' ELSE 'partial' END AS before FROM orders),
+      c AS (SELECT *, before IN ('failed', 'partial') AND p LIKE '1%' AS again FROM b), d AS (SELECT *, CASE WHEN again THEN 'waiting' ELSE before END AS status FROM c)
+      SELECT o_orderkey, before, status, round(CASE WHEN again THEN 0::DOUBLE ELSE k % 7 / 7 END, 6) AS progress, k % 4 = 0 AND status = 'waiting' AS runs,
+      concat_ws(' | ', CASE status WHEN 'waiting' THEN 'waiting' WHEN 'completed' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'stopped, partly done' END, p, CASE WHEN before = 'failed' THEN 'e' END) AS label FROM d""",
+    "review_totals": f"SELECT text, count(*) AS cues, count(*) FILTER (needs_review) AS to_review FROM ({SQL['raw_cues']}) GROUP BY 1",
+    "counter_totals": "SELECT user_id, event_type AS key, sum(event_id % 10)::BIGINT AS n FROM events GROUP BY 1, 2 UNION ALL SELECT user_id, 'all', count(*) FROM events GROUP BY 1",
+    "queue_additions": """WITH o AS (SELECT page_id AS id, page_id AS arrival, 'Ep ' || page_id % 50 AS n, page_id % 50 AS k, page_id % 5 <> 0 AS video FROM pages), a AS (SELECT * FROM o UNION ALL SELECT id, arrival + 10000000, n, k, video FROM o WHERE id % 3 = 0),
+      m AS (SELECT *, CASE WHEN NOT video THEN 'ignored' WHEN id % 7 = 0 OR row_number() OVER (PARTITION BY id ORDER BY arrival) > 1 THEN 'duplicate' ELSE 'added' END AS outcome FROM a)
+      SELECT arrival, outcome, CASE WHEN outcome = 'added' THEN row_number() OVER (PARTITION BY outcome ORDER BY length(k::VARCHAR), k, arrival) END AS place FROM m""",
+    "import_cases": """SELECT l_orderkey || '-' || l_linenumber AS video_id, CASE l_partkey % 12 WHEN 0 THEN 'format' WHEN 11 THEN 'format' WHEN 1 THEN 'version' WHEN 2 THEN 'cue fields' WHEN 3 THEN 'cue times' WHEN 4 THEN 'cue text' WHEN 5 THEN 'cue overlap'
+      WHEN 6 THEN 'clipped text flag' WHEN 7 THEN 'colour filter' WHEN 8 THEN 'region' WHEN 9 THEN 'times or dimensions' END AS error, CASE WHEN l_partkey % 12 = 10 THEN 2 END::INT AS cues FROM """ + _ITEMS,
+    "word_lists": r"""WITH w AS (SELECT doc_id, len(string_split(regexp_replace(replace(replace(text, chr(13), ''), ' ', chr(10)), '\s+$', ''), chr(10))) + 2 AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN n BETWEEN 10 AND 100000 THEN n END::INT AS words FROM w""",
+    "scan_ends": f"WITH {OBS} SELECT video_id, round(least({END}::DOUBLE, max(time) + 10800000), 4) AS processed_end, '#' || printf('%02x%02x%02x', video_id % 256, video_id % 200, video_id % 100) AS color FROM obs WHERE ord % 2 = 0 GROUP BY 1",
+    "line_assembly": f"WITH {_LINES.format('')} SELECT conv_id, string_agg(row, chr(10) ORDER BY y) AS text, round(CASE WHEN sum(n) > 0 THEN sum(c) / sum(n) ELSE 0 END, 6) AS confidence FROM rows GROUP BY 1",
+    "confident_lines": f"""WITH {_LINES.format(" AND text <> '' AND length(text) % 10 / 10 >= 0.5")}, f AS (SELECT conv_id, string_agg(row, chr(10) ORDER BY y) AS text, sum(c) / sum(n) AS c, sum(k) AS k FROM rows GROUP BY 1)
+      SELECT a.conv_id, coalesce(f.text, '') AS text, round(coalesce(f.c, 0), 6) AS confidence, coalesce(f.k, 0)::INT AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE text IS NOT NULL) a LEFT JOIN f ON a.conv_id = f.conv_id""",
+    "color_mask": """WITH p AS (SELECT vec_id, i, list_transform(range(4), lambda k: floor(least(255::DOUBLE, abs(embedding[4 * i + k + 1]::DOUBLE) * 1020))) AS v FROM embeddings, range(16) r(i)),
+      m AS (SELECT vec_id, i, v[4] <> 0 AND abs(v[1] - 128) <= 100 AND abs(v[2] - 128) <= 100 AND abs(v[3] - 128) <= 100 AS hit FROM p)
+      SELECT vec_id, string_agg(CASE WHEN hit THEN '01' ELSE '00' END, '' ORDER BY i) AS mask, count(*) FILTER (hit)::INT AS n FROM m GROUP BY 1""",
+    "crop_queue": """WITH RECURSIVE q AS (SELECT p_brand AS s, p_partkey AS ord, p_size * 40 * 400 * 4 AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+      f AS (SELECT s, ord, n, 0::BIGINT AS batch, size::BIGINT AS held, 1 AS k FROM q WHERE n = 1 UNION ALL
+        SELECT q.s, q.ord, q.n, f.batch + CASE WHEN full_ THEN 1 ELSE 0 END, CASE WHEN full_ THEN q.size ELSE held + q.size END, CASE WHEN full_ THEN 1 ELSE k + 1 END
+        FROM (SELECT *, f.k >= 8 OR f.held >= 16777216 OR f.held + (SELECT any_value(z.size) FROM q z WHERE z.s = f.s AND z.n = f.n + 1) > 16777216 AS full_ FROM f) f JOIN q ON q.s = f.s AND q.n = f.n + 1)
+      SELECT s AS scan_id, ord, batch FROM f""",
+    "gate_state": f"""WITH RECURSIVE q AS (SELECT user_id AS s, event_id AS ord, (epoch_us(ts) - {EPOCH_US}) / 36000000.0::DOUBLE AS time, event_type = 'view' AS hit, value > 480 AS found, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT s, ord, time, n, false AS skipped, NOT hit AND NOT found AS sure, CASE WHEN hit THEN NULL ELSE time END AS probed, NOT hit AND found AS off FROM q WHERE n = 1 UNION ALL
+        SELECT s, ord, time, n, skip, CASE WHEN skip THEN sure WHEN hit THEN false ELSE NOT found END, CASE WHEN skip OR hit THEN probed ELSE time END, off OR (NOT skip AND NOT hit AND found)
+        FROM (SELECT q.*, f.sure, f.probed, f.off, coalesce(NOT f.off AND NOT q.hit AND f.sure AND 0 < q.time - f.probed AND q.time - f.probed < 1000, false) AS skip FROM f JOIN q ON q.s = f.s AND q.n = f.n + 1))
+      SELECT s AS scan_id, ord, round(time, 6) AS time, skipped FROM f""",
+}
