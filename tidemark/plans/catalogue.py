@@ -663,6 +663,10 @@ SQL |= {
     "color_mask": """WITH p AS (SELECT vec_id, i, list_transform(range(4), lambda k: floor(least(255::DOUBLE, abs(embedding[4 * i + k + 1]::DOUBLE) * 1020))) AS v FROM embeddings, range(16) r(i)),
       m AS (SELECT vec_id, i, v[4] <> 0 AND abs(v[1] - 128) <= 100 AND abs(v[2] - 128) <= 100 AND abs(v[3] - 128) <= 100 AS hit FROM p)
       SELECT vec_id, string_agg(CASE WHEN hit THEN '01' ELSE '00' END, '' ORDER BY i) AS mask, count(*) FILTER (hit)::INT AS n FROM m GROUP BY 1""",
+    # No name of these tables has a number in brackets, so numbering within a stem is exact.
+    "available_names": r"""WITH b AS (SELECT page_id AS ord, regexp_replace(regexp_replace(regexp_replace(string_split(url, '/')[4], '\.[^.]*$', ''), '[<>:"/\\|?*]', '_', 'g'), '[. ]+$', '') AS s FROM pages),
+      n AS (SELECT ord, CASE WHEN s = '' THEN 'episode' ELSE s END AS s FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY lower(s) ORDER BY ord) AS k FROM n)
+      SELECT ord, fmt, s || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.' || fmt AS file FROM k, (VALUES ('srt'), ('vtt')) f(fmt)""",
     "crop_queue": """WITH RECURSIVE q AS (SELECT p_brand AS s, p_partkey AS ord, p_size * 40 * 400 * 4 AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
       f AS (SELECT s, ord, n, 0::BIGINT AS batch, size::BIGINT AS held, 1 AS k FROM q WHERE n = 1 UNION ALL
         SELECT q.s, q.ord, q.n, f.batch + CASE WHEN full_ THEN 1 ELSE 0 END, CASE WHEN full_ THEN q.size ELSE held + q.size END, CASE WHEN full_ THEN 1 ELSE k + 1 END
