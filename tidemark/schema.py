@@ -25,6 +25,7 @@ PROJECT = _struct(
     cues=ArrayType(PROJECT_CUE),
 )
 FRAME_INDEX = _struct(video_id=S, idx=I, dts=L, cts=L, timescale=L, is_sync=B, offset=L, size=L, duration=L)
+MOVIE = _struct(video_id=S, error=S, codec=S, width=I, height=I, timescale=L, offset_ms=D, samples=L)
 WINDOW = _struct(range_id=I, start=D, end=D, interval=D)
 SIGNATURE = _struct(width=I, height=I, ink=BinaryType(), count=I)
 SETTINGS = _struct(region=REGION, interval=D, confidence=D, batch=B, deduplicate=B, refine=B, ignoreClippedText=B, startOffset=D, endTrim=D)
