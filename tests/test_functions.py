@@ -299,3 +299,41 @@ def test_dictionary_and_constants(spark):
     words = one(spark, project.dictionary(F.lit("﻿a\r\nb\nc\nd\ne\nf\ng\nh\n\n")))
     assert words == ["", *"abcdefgh", " "]
     assert schema.REVIEW_BELOW == 0.88
+
+
+def test_natural_order_of_accents_and_case(spark):
+    df = spark.createDataFrame([("é 10",), ("E 9",), ("e 2",), ("f 1",), ("d 3",)], "name string")
+    assert [r.name for r in jobs.natural_sort(df, "name").collect()] == ["d 3", "e 2", "E 9", "é 10", "f 1"]
+
+
+def test_a_full_queue_refuses(spark):
+    names = ["a.mp4", "b.txt", "b.mp4", "a.mp4", "c.mp4", "d.txt", "e.mp4"]
+    arriving = spark.createDataFrame([(n, n, n, k) for k, n in enumerate(names)], "key string, name string, path string, arrival int")
+    have = spark.createDataFrame([("k0",)], "key string")
+    got = [r.outcome for r in jobs.add_items(have, arriving, 3).orderBy("arrival").collect()]
+    assert got == ["added", "ignored", "added", "refused", "refused", "refused", "refused"]
+    assert [r.outcome for r in jobs.add_items(have, arriving).orderBy("arrival").collect()] == ["added", "ignored", "added", "duplicate", "added", "ignored", "added"]
+
+
+def test_settings_of_items(spark):
+    items = spark.createDataFrame([(1, "own"), (2, None), (3, None)], "id int, settings string")
+    shared = spark.createDataFrame([("all",)], "settings string")
+    listed = lambda df: [r.settings for r in df.orderBy("id").collect()]
+    assert listed(jobs.switch_settings(items, shared, F.col("id") < 3, True)) == ["own", "all", None]
+    assert listed(jobs.switch_settings(items, shared, F.col("id") < 3, False)) == [None] * 3
+    cleared, now = jobs.apply_to_all(items, items.where("id = 1").select("settings"))
+    assert listed(cleared) == [None] * 3 and [r.settings for r in now.collect()] == ["own"]
+
+
+def test_chosen_models(spark):
+    files = spark.createDataFrame([("detector", 200_000_000), ("dictionary", 2_000_001)], "name string, bytes long")
+    assert {r.name: r.fault for r in project.model_faults(files).collect()} == {"detector": None, "recogniser": "missing", "dictionary": "too large"}
+
+
+def test_videos_of_a_folder(spark, tmp_path):
+    root = tmp_path / ".home's" / "in"
+    for name in ("a.MP4", "s 1/b.mov", "s 1/.c.mp4", ".s/d.mp4", "e.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    got = project.video_files(spark, str(root)).collect()
+    assert sorted((r.name, r.relative, r.length) for r in got) == [("a.MP4", "a.MP4", 1), ("b.mov", "s 1/b.mov", 1)]

@@ -24,20 +24,31 @@ def item_key(name: Column, size: Column, modified: Column, digest: Column) -> Co
     return F.to_json(F.array(name, size.cast("string"), modified.cast("string"), digest))
 
 
-def add_items(existing: DataFrame, arriving: DataFrame) -> DataFrame:
+def add_items(existing: DataFrame, arriving: DataFrame, limit: int | None = s.MAX_ITEMS) -> DataFrame:
     """Arriving items marked: `ignored` if no video, `duplicate` if their key is in the queue or came before, else `added`, with a place
-    after the queue's, in natural order of their paths. Both have key; arriving also name, path and arrival."""
+    after the queue's, in natural order of their paths. From the first video on that meets a queue of `limit` items, all are `refused`.
+    Both have key; arriving also name, path and arrival."""
     rows = arriving.join(existing.select("key").distinct().withColumn("known", F.lit(True)), "key", "left")
     rows = rows.withColumn("video", supported_video("name"))
     first = F.row_number().over(Window.partitionBy("key", "video").orderBy("arrival"))
     mark = F.when(~F.col("video"), "ignored").when(F.col("known") | (first > 1), "duplicate").otherwise("added")
     rows = rows.withColumn("outcome", mark)
-    place = F.row_number().over(Window.partitionBy("outcome").orderBy(natural_key("path"), "arrival"))
+    if limit is not None:
+        seen = Window.orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = (F.col("outcome") == "added").cast("int")
+        rows = rows.join(F.broadcast(existing.agg(F.count("*").alias("held")))).withColumn("full", F.col("video") & (F.col("held") + F.sum(own).over(seen) - own >= limit))
+        rows = rows.withColumn("outcome", F.when(F.max("full").over(seen), "refused").otherwise(F.col("outcome"))).drop("held", "full")
+    place = F.row_number().over(Window.partitionBy("outcome").orderBy(*natural_order("path"), "arrival"))
     return rows.withColumn("place", F.when(F.col("outcome") == "added", place)).drop("known", "video")
 
 
+def natural_order(column: str) -> list[Column]:
+    """Runs of digits as numbers, the rest as Chinese readers sort it, letters alike in either case and with or without accents."""
+    return [F.collate(natural_key(column), "zh_CI_AI")]
+
+
 def natural_sort(rows: DataFrame, column: str) -> DataFrame:
-    return rows.withColumn("natural_key", natural_key(column)).orderBy("natural_key", column)
+    return rows.withColumn("natural_key", natural_key(column)).orderBy(*natural_order(column), column)
 
 
 def effective_settings(items: DataFrame, shared: DataFrame) -> DataFrame:
@@ -45,6 +56,20 @@ def effective_settings(items: DataFrame, shared: DataFrame) -> DataFrame:
     return items.join(F.broadcast(shared.limit(1).select(F.col("settings").alias("shared"))), how="left").withColumn("settings", F.coalesce("settings", "shared")).drop("shared")
 
 
+def switch_settings(items: DataFrame, shared: DataFrame, which: Column, own: bool) -> DataFrame:
+    """Items told by `which` get settings of their own, a copy of the shared ones unless they have some, or go back to the shared ones."""
+    picked = F.coalesce(which, F.lit(False))
+    if not own:
+        return items.withColumn("settings", F.when(~picked, F.col("settings")))
+    rows = items.join(F.broadcast(shared.limit(1).select(F.col("settings").alias("shared"))), how="left")
+    return rows.withColumn("settings", F.when(picked, F.coalesce("settings", "shared")).otherwise(F.col("settings"))).drop("shared")
+
+
+def apply_to_all(items: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items without settings of their own, and the chosen settings (one row) as the shared ones."""
+    return items.withColumn("settings", F.lit(None).cast(items.schema["settings"].dataType)), chosen.limit(1).select("settings")
+
+
 def item_status(error: Column, aborted: Column, complete: Column) -> Column:
     """Status after a run: a stop leaves it partial, an error failed, else complete or partial."""
     return F.when(aborted, "partial").when(error.isNotNull(), "failed").when(complete, "completed").otherwise("partial")

@@ -449,7 +449,7 @@ def queue_additions(spark, sf_dir):
     name = F.concat(F.lit("Ep "), (F.col("page_id") % 50).cast("string"), F.when(F.col("page_id") % 5 == 0, ".txt").otherwise(".MP4"))
     once = p.select(key().alias("key"), name.alias("name"), name.alias("path"), F.col("page_id").alias("arrival"))
     twice = once.where("arrival % 3 = 0").withColumn("arrival", F.col("arrival") + 10_000_000)
-    return jobs.add_items(have, once.union(twice)).select("arrival", "outcome", F.col("place").cast("long").alias("place"))
+    return jobs.add_items(have, once.union(twice), None).select("arrival", "outcome", F.col("place").cast("long").alias("place"))
 
 
 def import_cases(spark, sf_dir):
