@@ -491,6 +491,61 @@ def confident_lines(spark, sf_dir):
     return cues.keep_confident(obs, 0.5).select("conv_id", "text", F.round("confidence", 6).alias("confidence"), F.size("lines").alias("n"))
 
 
+def decode_ends(spark, sf_dir):
+    """Line items as samples: those that have to be decoded for windows up to 100 ms, by an index with times out of order."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dts"), F.lit(1000).alias("timescale"))
+    return sampling.decode_until(li, 100.0, None).drop("timescale")
+
+
+def edit_offsets(spark, sf_dir):
+    """Orders as tracks, their line items as edits."""
+    media, fast = F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 35 == 0
+    edits = _items(spark, sf_dir).select(
+        F.col("l_orderkey").alias("track_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("segment_duration"), F.when(media, (F.col("l_quantity") * 10).cast("long")).otherwise(-1).alias("media_time"),
+        F.when(fast, 2).otherwise(1).alias("rate"), F.lit(600).alias("movie_timescale"), F.lit(1000).alias("track_timescale"),
+    )
+    return state.edit_offset(edits).select("track_id", F.round("offset_ms", 6).alias("offset_ms"))
+
+
+def edit_checks(spark, sf_dir):
+    """Line items as edited times of a cue."""
+    valid = intervals.edit_valid(F.col("l_quantity") - 5, F.col("l_linenumber") * 8, F.col("l_partkey") % 60)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", valid.alias("valid"))
+
+
+def model_checks(spark, sf_dir):
+    """Pages as files of a model, every second of which isn't what is expected."""
+    name, content = F.col("page_id").cast("string").alias("name"), F.encode("html", "utf-8")
+    p = read(spark, sf_dir, "pages")
+    expected = p.select(name, F.when(F.col("page_id") % 2 == 0, F.sha2(content, 256)).otherwise(F.sha2(F.lit(b""), 256)).alias("sha256"))
+    return project_files.verified_models(p.select(name, content.alias("content")), expected, 6000)
+
+
+def queue_limit(spark, sf_dir):
+    """Documents arriving as videos in a queue of 300 items."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".mov"))
+    arriving = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), name.alias("name"), name.alias("path"), F.col("doc_id").alias("arrival"))
+    have = spark.range(300).select(F.concat(F.lit("have "), F.col("id").cast("string")).alias("key"))
+    return jobs.add_items(have, arriving).select("arrival", "outcome", F.col("place").cast("long").alias("place"))
+
+
+def item_settings(spark, sf_dir):
+    """Customers as items, those of every second nation with settings of their own, those of every fifth without."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("settings"))
+    shared = spark.range(1).select(F.lit("shared").alias("settings"))
+    own = jobs.switch_settings(c, shared, F.col("c_nationkey") % 2 == 0, True)
+    return jobs.switch_settings(own, shared, F.col("c_nationkey") % 5 == 0, False).select("c_custkey", "settings")
+
+
+def project_notes(spark, sf_dir):
+    """Customers as projects, opened for another video or not."""
+    c = read(spark, sf_dir, "customer")
+    source = F.struct(F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("duration"))
+    projects = c.select(F.col("c_custkey").alias("video_id"), F.struct(source.alias("source")).alias("project"))
+    videos = c.select(F.col("c_custkey").alias("video_id"), F.lit("BUILDING").alias("name"), F.lit(1000.0).alias("duration"))
+    return project_files.import_warnings(projects, videos)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -499,6 +554,7 @@ QUERIES = {
         *(dedupe_docs, natural_sort, stage_metrics, queue_totals, effective_settings, pair_batches, cue_search, color_parse, preview_targets, ctc_decode, box_components, box_merge, color_mask, line_assembly),
         *(gate_state, reuse_state, crop_queue, model_cache, zip_plan, region_moves, region_sizes, line_boxes, pointer_modes, row_neighbours, item_times, item_states, review_totals, counter_totals),
         *(queue_additions, import_cases, word_lists, scan_ends, confident_lines),
+        *(decode_ends, edit_offsets, edit_checks, model_checks, queue_limit, item_settings, project_notes),
     )
 }
 
@@ -678,3 +734,17 @@ SQL |= {
         FROM (SELECT q.*, f.sure, f.probed, f.off, coalesce(NOT f.off AND NOT q.hit AND f.sure AND 0 < q.time - f.probed AND q.time - f.probed < 1000, false) AS skip FROM f JOIN q ON q.s = f.s AND q.n = f.n + 1))
       SELECT s AS scan_id, ord, round(time, 6) AS time, skipped FROM f""",
 }
+
+SQL |= {
+    "decode_ends": "SELECT l_orderkey, l_linenumber, l_partkey AS dts FROM lineitem WHERE l_partkey <= 1100",
+    "edit_offsets": f"""WITH b AS (SELECT l_orderkey AS t, l_linenumber AS o, l_partkey AS d, l_partkey % 3 = 0 AS media, l_quantity * 10 AS m, l_partkey % 35 = 0 AS fast FROM {_ITEMS}),
+      w AS (SELECT *, max(CASE WHEN media THEN o END) OVER (PARTITION BY t) AS k FROM b)
+      SELECT t AS track_id, CASE WHEN count(*) FILTER (media) > 1 OR bool_or(fast) THEN NULL WHEN NOT bool_or(media) THEN 0::DOUBLE
+      ELSE round(coalesce(sum(d / 600::DOUBLE * 1000) FILTER (NOT media AND o < k), 0) - max(m) FILTER (media), 6) END AS offset_ms FROM w GROUP BY 1""",
+    "edit_checks": "SELECT l_orderkey, l_linenumber, l_quantity >= 5 AND l_quantity - 5 < l_linenumber * 8 AND l_linenumber * 8 <= l_partkey % 60 AS valid FROM lineitem",
+    "model_checks": "SELECT page_id::VARCHAR AS name, (page_id % 2 = 0 AND html IS NOT NULL OR coalesce(html = '', false)) AND strlen(html) <= 6000 AS valid FROM pages",
+    "queue_limit": """WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)
+      SELECT doc_id AS arrival, CASE WHEN n > 700 THEN 'refused' ELSE 'added' END AS outcome, CASE WHEN n <= 700 THEN n END AS place FROM n""",
+    "item_settings": "SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN NULL WHEN c_acctbal > 0 THEN c_mktsegment WHEN c_nationkey % 2 = 0 THEN 'shared' END AS settings FROM customer",
+    "project_notes": "SELECT c_custkey AS video_id, c_mktsegment <> 'BUILDING' AS other_name, abs(c_acctbal - 1000) > 1000 AS other_duration FROM customer",
+}
