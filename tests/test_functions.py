@@ -1,6 +1,8 @@
 """Text, time, geometry, names, project files and kernels on the values that define them."""
 
 import json
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,6 +64,39 @@ def test_names(spark):
     assert [r.file for r in sinks.export_names(df).orderBy("ord").collect()] == ["Ep.srt", "ep (2).srt", "ep (2) (2).srt", "x.srt"]
 
 
+def test_names_of_a_frequent_stem_are_spread(spark):
+    """All items have one name: each gets its place, and no task has most of them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = sinks.export_names(spark.range(2000).select(F.col("id").alias("ord"), F.lit("Ep.mp4").alias("name")), ("srt", "vtt"))
+        rows = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for fmt in ("srt", "vtt"):
+        assert {r.ord: r.file for r in rows if r.fmt == fmt} == {k: f"Ep ({k + 1}).{fmt}" if k else f"Ep.{fmt}" for k in range(2000)}
+    assert max(Counter(r.task for r in rows).values()) < 0.75 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_as_in_turn(spark, monkeypatch, seed):
+    """Literal and given numbers of several depths against naming one item after the other."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(sinks, "RUN", (4, 16, 1 << 16, 4)[seed])
+    stems = ["ep", "Ep", "x", "x (2)", "x (02)", "y (2)", "y (3)", "z", "z (2) (2)", "(2)", "ep (99999999999999999999)", "ep (3) (2) (2)", "ep (2) (2) (3)"]
+    stems = rng.sample(stems, 8) + ["ep"] * (2 * seed) + [f"ep ({k})" for k in range(9)] + [f"EP (2) ({k})" for k in range(1, 5)]
+    items = [(1000 * rng.randrange(-5, 50) + k, rng.choice(stems)) for k in range(120)]
+    used: set[str] = set()
+    want = {ord: sinks.available_name(stem, "srt", used) for ord, stem in sorted(items)}
+    rows = spark.createDataFrame([(ord, f"{stem}.mp4") for ord, stem in items], "ord long, name string")
+    assert {r.ord: r.file for r in sinks.export_names(rows).collect()} == want
+
+
+def test_names_of_items_without_one(spark):
+    rows = spark.createDataFrame([(0, None), (1, "a.mp4"), (2, None), (3, "A.mov")], "ord long, name string")
+    assert {r.ord: r.file for r in sinks.export_names(rows).collect()} == {0: None, 1: "a.srt", 2: None, 3: "A (2).srt"}
+    assert sinks.export_names(rows.limit(0)).collect() == []
+
+
 def test_natural_order_and_filters(spark):
     df = spark.createDataFrame([("第10集",), ("第2集",), ("第1集",)], "name string")
     assert [r.name for r in jobs.natural_sort(df, "name").collect()] == ["第1集", "第2集", "第10集"]

@@ -62,24 +62,91 @@ def available_name(stem: str, fmt: str, used: set[str]) -> str:
     return name
 
 
-def export_names(items: DataFrame, formats: tuple[str, ...] = ("srt",)) -> DataFrame:
-    """Names of items' files in each format: the stem, with a number where an earlier item (by ord) has the same one.
+#: A stem that could be a numbered name: what precedes the number, and the number.
+NUMBERED = r"(?s)^(.+) \(([1-9]\d{0,17})\)\z"
+#: Items are dealt by quantiles of ord, positions by runs of this length, so that those of one stem are spread over tasks.
+CELLS, RUN = 256, 1 << 16
+
+
+def _cell(ord: Column, bounds: list[int] | None) -> Column:
+    """How many of CELLS - 1 ascending bounds are at most ord, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # one constant, rather than a call for each
+    steps = F.array(*(F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= ord, at + step).otherwise(at))
+
+
+def _running(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """total: the sum of amount over the rows of a key up to each row, in order. cell ascends with the order; what the cells before hold is
+    added to a sum within the cell, so that a frequent key's rows don't meet in one task."""
+    cells = rows.groupBy("key", "cell").agg(F.sum("amount").alias("held"))
+    past = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("key", "cell", F.coalesce(F.sum("held").over(past), F.lit(0)).alias("base"))
+    within = Window.partitionBy("key", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(cells, ["key", "cell"]).withColumn("total", F.col("base") + F.sum("amount").over(within)).drop("cell", "base")
 
-    If a stem could itself be a numbered one, the whole family of stems with the same root is named in order instead, so that a literal
-    `x (2)` and a numbered `x` differ.
+
+def _contests(batches):
+    """Who gets the names that are a stem's and another one's numbered name: rows (root, parent, number, seen, key), each for the first item of
+    a stem that ends in a number, sorted by family, length of parent, parent and number; seen items of the parent came before it.
+
+    An item of the parent that comes to a number which the other stem has already goes on to the next one: from its item `at` on, the
+    parent's numbers are greater by one. Where the parent was earlier, all items of the other stem are numbered.
     """
-    root = F.regexp_replace(F.lower("stem"), r"( \(\d+\))+$", "")
-    rows = items.withColumn("stem", export_stem("name")).withColumn("fmt", F.explode(F.array(*map(F.lit, formats)))).withColumn("root", root)
-    schema = "ord long, fmt string, file string"
+    import pandas as pd
+
+    family = parent = None
+    for batch in batches:
+        out = []
+        for root, above, number, seen, key in batch.itertuples(index=False, name=None):
+            if root != family:
+                family, parent, beaten = root, None, set()
+            if above != parent:
+                parent, late, passed = above, int(above in beaten), 0
+            place = number - 1 - passed
+            if seen - 1 + late >= place:
+                beaten.add(key)
+                out.append((key, 0))
+            else:
+                passed += 1
+                out.append((parent, place + 1 - late))
+        yield pd.DataFrame(out, columns=["key", "at"])
 
-    def name(group):
-        import pandas as pd
 
-        used: set[str] = set()
-        group = group.sort_values("ord")
-        return pd.DataFrame({"ord": group.ord, "fmt": group.fmt, "file": [available_name(a, b, used) for a, b in zip(group.stem, group.fmt, strict=True)]})
+def export_names(items: DataFrame, formats: tuple[str, ...] = ("srt",)) -> DataFrame:
+    """Names of items' files in each format: the stem, with a number where an earlier item (by ord) has the same one, whatever its case.
 
-    return rows.select(F.col("ord").cast("long"), "fmt", "root", "stem").groupBy("root", "fmt").applyInPandas(name, schema)
+    The names are those of `available_name` for each item in turn. An item's number is its place among those of its stem, and one more for
+    each number that another stem's first item (a literal `x (2)`) had before; only the latter, one row a stem, are followed in turn.
+    Names are read once before for quantiles of ord. Items without a name have no file.
+    """
+    rows = items.select(F.col("ord").cast("long").alias("ord"), export_stem("name").alias("stem"))
+    rows = rows.withColumn("key", F.coalesce(F.lower("stem"), F.lit("")))
+    shares = ", ".join(f"{k / CELLS}D" for k in range(1, CELLS))
+    bounds, numbered = rows.agg(F.expr(f"percentile_approx(ord, array({shares}), 10000)"), F.max(F.col("key").rlike(NUMBERED))).first()
+    cell = _cell(F.col("ord"), bounds).alias("cell")
+    rows = rows.select("key", cell, "ord", "stem", F.lit(1).alias("amount"), F.lit(None).cast("long").alias("number"))
+    if not numbered:
+        rows = _running(rows, "ord", "stem")
+        number = F.col("total")
+    else:
+        part = lambda k: F.regexp_extract("key", NUMBERED, k)
+        firsts = rows.where(F.col("key").rlike(NUMBERED)).groupBy("key").agg(F.min("ord").alias("ord")).where(part(2) != "1")
+        firsts = firsts.select(part(1).alias("key"), cell, "ord", F.col("key").alias("stem"), F.lit(0).alias("amount"), part(2).cast("long").alias("number"))
+        rows = _running(rows.union(firsts), "ord", F.desc("amount"), "stem")
+        root = F.regexp_replace("key", r"( \(\d+\))+\z", "").alias("root")
+        met = rows.where("amount = 0").select(root, "key", "number", F.col("total").alias("seen"), F.col("stem").alias("other"))
+        met = met.repartition("root").sortWithinPartitions("root", F.length("key"), "key", "number")
+        more = met.mapInPandas(_contests, "key string, at long")
+        none = F.lit(None)
+        more = more.select("key", none.cast("long").alias("ord"), none.cast("string").alias("stem"), F.lit(1).alias("amount"), "at")
+        rows = rows.where("amount = 1").select("key", "ord", "stem", F.lit(0).alias("amount"), F.col("total").alias("at")).union(more)
+        rows = _running(rows.withColumn("cell", F.floor(F.col("at") / RUN)), "at", F.desc("amount")).where("amount = 0")
+        number = F.col("at") + F.col("total")
+    rows = rows.select("ord", "stem", number.alias("number")).withColumn("fmt", F.explode(F.array(*map(F.lit, formats))))
+    told = F.when(F.col("number") > 1, F.concat(F.lit(" ("), F.col("number").cast("string"), F.lit(")"))).otherwise("")
+    return rows.select("ord", "fmt", F.concat("stem", told, F.lit("."), "fmt").alias("file"))
 
 
 class DirectoryWriter:
